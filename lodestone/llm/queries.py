@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import langid
 from .common import read
 from .decontaminate import contamination, with_matches
 from .exact_dedup import exact_groups
 from .mixing import mix
+from .near_dedup import near_classes
 from .sharding import shard_plan
 
 
@@ -29,7 +30,17 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_dedup, op3_decontamination, op4_shards)}
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(read(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_dedup, op3_decontamination, op4_shards, op5_near_dedup, op9_language_id)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
