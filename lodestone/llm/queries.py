@@ -11,6 +11,7 @@ from .exact_dedup import exact_groups
 from .mixing import mix
 from .near_dedup import near_classes
 from .sharding import shard_plan
+from .token_files import token_round_trip
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,13 +35,19 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(read(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_dedup, op3_decontamination, op4_shards, op5_near_dedup, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_dedup, op3_decontamination, op4_shards, op5_near_dedup, op6_token_files, op9_language_id)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
