@@ -287,7 +287,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
             if writer is None:
                 store.create_dir(top, recursive=True)
                 path = f"{top}/{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.planes"
-                writer = PlaneWriter(store.open_output_stream(path), bits)
+                writer = PlaneWriter(store.open_output_stream(path, compression=None), bits)
             ids, counts = encode.encode(data, offsets)
             column = rows.column("id")
             writer.add(column.fill_null(0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False), counts, ids)
