@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid
-from .common import read
+from . import hmm, langid
+from .common import new_folder, read, staged
 from .decontaminate import contamination, with_matches
 from .exact_dedup import exact_groups
 from .mixing import mix
 from .near_dedup import near_classes
 from .sharding import shard_plan
+from .token_counts import TokenLedger, changes, counts_of
 from .token_files import token_round_trip
 from .warc import archive_round_trip
 
@@ -46,13 +48,46 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: all documents come; those labelled toxic go; those of low quality are
+    counted again without their cell bars; and the first batch comes once more, to no effect."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    bare = F.replace(F.col("text"), F.lit("|"), F.lit(" "))
+    counted = staged(docs.select("doc_id", "source", "lang", counts_of(F.col("text")).alias("counts"), counts_of(bare).alias("bare")), "counted")
+    toxic, poor = labels.where("toxic = 1").select("doc_id"), labels.where("toxic = 0 and quality = 0").select("doc_id")
+    ledger = TokenLedger(spark, new_folder(spark, "ledger"))
+    ledger.commit("1-all", changes(counted, F.col("counts")))
+    ledger.commit("2-toxic", changes(toxic, None))
+    ledger.commit("3-poor", changes(counted.join(poor, "doc_id", "left_semi"), F.col("bare")))
+    ledger.commit("1-all", changes(counted, F.col("counts")))
+    return ledger.totals()
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = langid.predict(docs, langid.fit(docs))
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_exact_dedup, op3_decontamination, op4_shards, op5_near_dedup, op6_token_files, op7_warc, op9_language_id)}
+def op10_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scores(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_source_mix,
+        op2_exact_dedup,
+        op3_decontamination,
+        op4_shards,
+        op5_near_dedup,
+        op6_token_files,
+        op7_warc,
+        op8_token_counts,
+        op9_language_id,
+        op10_hmm_scores,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -87,4 +122,14 @@ ORACLE_SQL = {
                CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
         FROM d""",
+    "op8_token_counts": rf"""
+        WITH fate AS (SELECT doc_id, max(toxic) AS toxic, max(CASE WHEN toxic = 0 AND quality = 0 THEN 1 ELSE 0 END) AS poor FROM labels GROUP BY doc_id),
+        d AS (
+            SELECT source, lang, CASE WHEN poor = 1 THEN replace(coalesce(text, ''), '|', ' ') ELSE coalesce(text, '') END AS t
+            FROM documents LEFT JOIN fate USING (doc_id) WHERE coalesce(toxic, 0) = 0),
+        n AS (
+            SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS n FROM d
+            UNION ALL
+            SELECT source, lang, 'words-2', len(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM d)
+        SELECT source, lang, version, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM n GROUP BY ALL""",
 }
