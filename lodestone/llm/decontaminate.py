@@ -148,6 +148,9 @@ def with_matches(docs: DataFrame, tests: DataFrame, window: int = WINDOW, text_c
     tests = tests.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where("item is not null")
     total = tests.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
+    clash = {"text", "matches", "n_words"} & (set(keep) - {text_col})
+    if clash:
+        raise ValueError(f"kept columns {sorted(clash)} clash with the result's")
     out = docs.select(*[F.col(c) for c in keep if c != text_col], F.col(text_col).alias("text"))
     for b in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item").collect()

@@ -11,8 +11,9 @@ are the connected texts. Method:
 * Copies. Texts with the same words (128-bit hash and count) are one vertex from here on.
 * Candidates. In each group of equal keys every text is paired with one hub only, so a
   group of n texts makes n - 1 pairs. The texts that turn out not to be similar to the hub
-  are grouped again among themselves with a hub of their own, by longer tuples in later
-  rounds, until no such group has two texts. No group or bucket is capped.
+  are grouped again among themselves, by longer tuples and with more hubs in later rounds
+  (4, 16, then ``HUBS``, chosen by hash), until no such group has two texts. Pairs grow with
+  texts times hubs, never with the square of a group, and no group is capped.
 * Verification. Pairs pass a count filter (words in common) and then a banded alignment:
   bit-parallel edit distance over a band of diagonals as wide as the distance allowed.
 * Classes. Links are contracted by alternating large-star and small-star steps, each
@@ -50,6 +51,7 @@ DEPTHS = (2, 4, 8)
 SIMILARITY = 0.8
 SEED = 11
 NARROW = 24
+HUBS = 64
 
 
 # ---------------------------------------------------------------- sketches
@@ -272,26 +274,26 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     level = [f"k{d}" for d in DEPTHS]
     by_band = F.explode(F.array(*[F.struct(*[F.conv(F.hex(key(b, d)), 16, -10).cast("long").alias(n) for d, n in enumerate(level)]) for b in range(bands)]))
     keyed = rows.select("row", "keys").join(own, "row").select("row", by_band.alias("k")).select("row", "k.*")
-    first = staged(keyed.groupBy(level[0]).agg(F.count("*").alias("n"), F.min("row").alias("hub")).where("n > 1").drop("n"), "hubs")
-    keyed = staged(keyed.join(first, level[0]), "keyed")
-    need = staged(keyed.select("row").distinct(), "need")
-    tokens = staged(rows.select("row", "tokens").join(need, "row"), "tokens")
+    shared = staged(keyed.groupBy(level[0]).agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "shared")
+    keyed = staged(keyed.join(shared, level[0]).drop("n", "first"), "keyed")
+    tokens = staged(rows.select("row", "tokens").join(keyed.select("row").distinct(), "row"), "tokens")
 
     links, number = [], 0
-    while True:
-        pairs = staged(keyed.where("row <> hub").select("hub", "row").distinct(), "pairs")
-        verdict = staged(verified(pairs, tokens, similarity), "verdicts")
+    while number == 0 or not keyed.isEmpty():
+        group = [level[0], level[min(number, len(level) - 1)]][: number + 1]
+        sizes = staged(keyed.groupBy(*group).agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "sizes")
+        one_in = F.ceil(F.col("n") / min(HUBS, 4**number))
+        chosen = F.lit(False) if number == 0 else F.pmod(F.xxhash64("row", F.lit(number)), one_in) == 0
+        marked = staged(keyed.join(sizes, group).withColumn("is_hub", (F.col("row") == F.col("first")) | chosen).drop("n", "first"), "marked")
+        hubs = staged(marked.where("is_hub").select(*group, F.col("row").alias("hub")), "hubs")
+        full = staged(marked.join(hubs, group).where("row <> hub and (not is_hub or row > hub)"), "full")
+        verdict = staged(verified(full.select("hub", "row").distinct(), tokens, similarity), "verdicts")
         links.append(verdict.where("near").select(F.col("hub").alias("u"), F.col("row").alias("v")))
-        apart = verdict.where("not near").select("hub", "row")
-        number += 1
-        deep = level[min(number, len(level) - 1)]
-        left = staged(keyed.join(apart, ["hub", "row"]).drop("hub"), "left")
-        hubs = staged(left.groupBy(level[0], deep).agg(F.count("*").alias("n"), F.min("row").alias("hub")).where("n > 1").drop("n"), "hubs")
-        old, keyed = keyed, staged(left.join(hubs, [level[0], deep]), "keyed")
-        for x in (old, left, hubs, pairs):
+        apart = full.where("not is_hub").join(verdict, ["hub", "row"]).groupBy(*level, "row").agg(F.max("near").alias("near"))
+        old, keyed = keyed, staged(apart.where("not near").drop("near"), "apart")
+        for x in (old, sizes, marked, hubs, full):
             discard(spark, x)
-        if keyed.isEmpty():
-            break
+        number += 1
     union = links[0]
     for more in links[1:]:
         union = union.unionByName(more)
