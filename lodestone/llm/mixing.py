@@ -57,8 +57,8 @@ def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most:
 
 
 def nearest_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take, at most ``counts``, for the sum nearest to ``budget``, at most 2 x DP_WORDS."""
-    room = budget + int(lengths.min(initial=0)) + 1
+    """How many of each length to take, at most ``counts``, for the sum nearest to ``budget``."""
+    room = budget + int(lengths[counts > 0].max(initial=0)) + 1
     mask, reached = (1 << room) - 1, 1
     by, pieces = np.full(room, -1, np.int64), []
     for i in np.argsort(-lengths, kind="stable"):
@@ -93,6 +93,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return np.zeros(len(lengths), np.int64)
     if budget >= have:
         return np.where(lengths > 0, counts, 0).astype(np.int64)
+    if budget <= DP_WORDS:
+        return nearest_sum(lengths, np.where(lengths > 0, counts, 0), budget)
     taken = np.array([int(c) * budget // have for c in counts], np.int64)
     taken[lengths <= 0] = 0
     rest = budget - int((lengths * taken).sum())
@@ -106,7 +108,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken + nearest_sum(lengths, np.where(lengths > 0, counts - taken, 0), rest)
 
 
-def fitted(key, lengths: pd.DataFrame) -> pd.DataFrame:
+def fitted(lengths: pd.DataFrame) -> pd.DataFrame:
     lengths = lengths.sort_values("size", kind="stable")
     lengths["extra"] = fit(lengths["size"].to_numpy(), lengths["n"].to_numpy(), int(lengths["budget"].iloc[0]))
     return lengths[["source", "size", "n", "rounds", "source_size", "target", "extra"]]

@@ -131,8 +131,6 @@ class Encoder:
         return ids, size, at
 
     def learn(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > KNOWN_PIECES:
-            self.clear()
         ids, size, at = self.ids_of(data, starts, ends)
         at = at + len(self.ids)
         keys, at, size = np.concatenate([self.keys, keys]), np.concatenate([self.at, at]), np.concatenate([self.size, size])
@@ -150,11 +148,10 @@ class Encoder:
         at = np.searchsorted(self.keys, keys)
         new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            before = len(self.keys)
+            if len(self.keys) + len(new) > KNOWN_PIECES:  # begin anew, with all of this run's pieces
+                self.clear()
+                new = np.arange(len(keys))
             self.learn(keys[new], data, starts[first[new]], ends[first[new]])
-            if len(self.keys) < before + len(new):  # it began anew: what was known must be encoded again
-                old = np.setdiff1d(np.arange(len(keys)), new)
-                self.learn(keys[old], data, starts[first[old]], ends[first[old]])
             at = np.searchsorted(self.keys, keys)
         at = at[inverse]
         size = self.size[at]

@@ -116,6 +116,8 @@ def parsed(raw: bytes, at: int, offset: int) -> tuple[Record, int]:
         if not colon:
             raise Damaged("a header line without a colon")
         headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+    if not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
+        raise Damaged("a required header is missing")
     if not headers.get("content-length", "").isdigit():
         raise Damaged("no Content-Length")
     stop = end + 4 + int(headers["content-length"])
