@@ -35,6 +35,7 @@ PER_LANGUAGE = 1500
 WINDOWS_PER_TEXT = 2
 MOST_LANGUAGES = 500
 EPOCHS = 6
+LEAST_STEPS = 600  # a small sample is gone over more often
 SEED = 5
 UNKNOWN = "und"
 
@@ -100,8 +101,10 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs:
     filters = [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
     model = [*filters, np.zeros(len(WIDTHS) * FILTERS, np.float32), rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)]
     first, second, step = [np.zeros_like(p) for p in model], [np.zeros_like(p) for p in model], 0
+    batches = max(1, len(windows) // 64)
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
     for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(len(windows)), max(1, len(windows) // 64)):
+        for part in np.array_split(rng.permutation(len(windows)), batches):
             b, y, grads, top, where = windows[part], labels[part], [np.zeros_like(p) for p in model], [], []
             for f in model[: len(WIDTHS)]:
                 x = sum(f[j][b[:, j : WINDOW - len(f) + 1 + j]] for j in range(len(f)))
