@@ -64,12 +64,14 @@ def search_stats(per_query: DataFrame, n_docs: int) -> DataFrame:
     )
 
 
-def inverted_index(corpus: DataFrame) -> DataFrame:
-    """(term, df, postings) with postings in document order.
+def inverted_index(corpus: DataFrame, block_docs: int = 1 << 20) -> DataFrame:
+    """(term, block, n, postings) with postings in document order.
 
-    A term's postings are one array, so a term must fit in a row; search doesn't use this table.
+    A block holds the documents of ``block_docs`` consecutive ids, so a frequent term's postings
+    are many rows of bounded size.
     """
-    return corpus.groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.struct("doc_id", "weight"))).alias("postings"))
+    block = F.floor(F.col("doc_id") / block_docs).cast("long")
+    return corpus.groupBy("term", block.alias("block")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "weight"))).alias("postings"))
 
 
 def term_df(corpus: DataFrame) -> DataFrame:

@@ -39,8 +39,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark, d):
-    return vectors.text_triples(table(spark, d, "documents"), "doc_id", "text", "doc_id")
+def corpus(spark, d, only=None):
+    return vectors.text_triples(table(spark, d, "documents"), "doc_id", "text", "doc_id", only)
+
+
+def asked_corpus(spark, d):
+    """The corpus triples that a search can touch, and the queries."""
+    queries = sparse_queries(spark, d)
+    return corpus(spark, d, queries), queries
 
 
 def sparse_queries(spark, d):
@@ -99,12 +105,12 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_TOP} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM top")
 def sparse_topk_inverted(spark, d):
-    return rounded(sparse.inverted_topk(corpus(spark, d), sparse_queries(spark, d), K_SPARSE))
+    return rounded(sparse.inverted_topk(*asked_corpus(spark, d), K_SPARSE))
 
 
 @query(f"WITH {_ALL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM every QUALIFY rank <= {K_SPARSE}")
 def sparse_topk_brute(spark, d):
-    return rounded(sparse.brute_topk(corpus(spark, d), sparse_queries(spark, d), doc_ids(spark, d), query_ids(spark, d), K_SPARSE))
+    return rounded(sparse.brute_topk(*asked_corpus(spark, d), doc_ids(spark, d), query_ids(spark, d), K_SPARSE))
 
 
 @query(f"WITH {_ALL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM every WHERE query_id = 0 QUALIFY rank <= {K_SPARSE}")
@@ -115,17 +121,17 @@ def sparse_topk_single_query(spark, d):
 
 @query(f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, postings FROM scores")
 def sparse_scores(spark, d):
-    return rounded(sparse.scores(corpus(spark, d), sparse_queries(spark, d)))
+    return rounded(sparse.scores(*asked_corpus(spark, d)))
 
 
 @query(f"WITH {_SCORES} SELECT query_id, doc_id, postings AS shared FROM scores")
 def shared_terms(spark, d):
-    return sparse.shared_terms(corpus(spark, d), sparse_queries(spark, d))
+    return sparse.shared_terms(*asked_corpus(spark, d))
 
 
 @query(f"WITH {_SCORES} SELECT item_id AS query_id, coalesce(sum(postings), 0)::BIGINT AS postings, count(score) AS touched FROM benchmark LEFT JOIN scores ON item_id = query_id GROUP BY ALL")
 def search_stats_per_query(spark, d):
-    return sparse.search_stats_per_query(corpus(spark, d), sparse_queries(spark, d), query_ids(spark, d))
+    return sparse.search_stats_per_query(*asked_corpus(spark, d), query_ids(spark, d))
 
 
 @query(f"""WITH {_SCORES}, s AS (SELECT item_id, coalesce(sum(postings), 0)::BIGINT AS p, count(score) AS t FROM benchmark LEFT JOIN scores ON item_id = query_id GROUP BY ALL)
@@ -208,10 +214,10 @@ def term_df(spark, d):
     return sparse.term_df(corpus(spark, d))
 
 
-@query(f"WITH {_CORPUS} SELECT term, count(*) AS df, list(doc_id ORDER BY doc_id) AS docs, list(weight ORDER BY doc_id) AS weights FROM corpus GROUP BY ALL")
+@query(f"WITH {_CORPUS} SELECT term, doc_id // 1048576 AS block, count(*) AS n, list(doc_id ORDER BY doc_id) AS docs, list(weight ORDER BY doc_id) AS weights FROM corpus GROUP BY ALL")
 def inverted_index(spark, d):
     i = sparse.inverted_index(corpus(spark, d))
-    return i.select("term", "df", F.col("postings.doc_id").alias("docs"), F.col("postings.weight").alias("weights"))
+    return i.select("term", "block", "n", F.col("postings.doc_id").alias("docs"), F.col("postings.weight").alias("weights"))
 
 
 @query(f"WITH {_CORPUS}, {_ASKED}, t AS (SELECT DISTINCT term FROM asked UNION SELECT DISTINCT term FROM corpus), n AS (SELECT term, count(*) AS df FROM corpus GROUP BY ALL) SELECT term, sum(coalesce(df, 0)) OVER (ORDER BY term)::BIGINT AS offset_end FROM t LEFT JOIN n USING (term)")

@@ -40,13 +40,18 @@ def summed(triples: DataFrame) -> DataFrame:
     return triples.groupBy("row_id", "term").agg(F.sum("weight").alias("weight"))
 
 
-def text_triples(texts: DataFrame, id_col: str, text_col: str, out_id: str) -> DataFrame:
+def text_triples(texts: DataFrame, id_col: str, text_col: str, out_id: str, only: DataFrame | None = None, broadcast_terms: int = 1_000_000) -> DataFrame:
     """(out_id, term, weight): how often each term occurs in each text.
 
     Terms are dealt by id before they are counted: the count, and later sums by (query, id),
-    then find all rows of an id in one partition and need no shuffle of their own.
+    then find all rows of an id in one partition and need no shuffle of their own. ``only``
+    keeps the terms of another table, before the shuffle if they are few enough to broadcast.
     """
     exploded = texts.select(F.col(id_col).alias(out_id), F.explode(tokens(F.col(text_col))).alias("term"))
+    if only is not None:
+        terms = only.select("term").distinct()
+        few = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
+        exploded = exploded.join(F.broadcast(terms) if few else terms, "term", "left_semi").select(out_id, "term")
     return exploded.repartition(out_id).groupBy(out_id, "term").agg(F.count("*").cast("double").alias("weight"))
 
 

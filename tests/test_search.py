@@ -135,7 +135,7 @@ def test_hnsw_reaches_recall(dense_set):
     _, df, queries = dense_set
     exact, ids = dense.exact_topk(df, queries, 10), queries.select(F.col("id").alias("query_id"))
     for shards in (600, 200):
-        found = hnsw.hnsw_topk(df, queries, 10, degree=8, build_beam=40, search_beam=40, shard_rows=shards)
+        found = hnsw.hnsw_topk(df, queries, 10, degree=24, build_beam=100, search_beam=100, shard_rows=shards)
         assert evaluate.recall_at_k(found, exact, 10, ids).first()[0] >= 0.9
 
 
