@@ -13,8 +13,8 @@ counts; Spark sums them by parameter; the driver gets one sum for each parameter
 model bounds, and no more. Scoring runs the scaled forward recursion over whole texts, so
 the likelihood is exact under the model.
 
-Counts of words come from a table with a row for each distinct word. It is never broadcast:
-texts are packed into blocks of about two megabytes with a vocabulary each, and blocks'
+Counts of words come from a table with a row for each distinct word, named by its 64-bit hash.
+It is never broadcast: texts are packed into blocks of about four megabytes with a vocabulary each, and blocks'
 vocabularies are joined to the table, so a block gets the counts of its own words only.
 
 Defined results: null and empty texts are one end token; repeated rows count and score each;
@@ -43,7 +43,7 @@ SEGMENT = 128
 ROUNDS = 5
 SMOOTH = 0.1
 SEED = 3
-END = "\n"  # no word holds white space
+END = np.array([2**64 - 1], np.uint64)  # stands for a hash
 
 
 class Model(NamedTuple):
@@ -64,7 +64,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 # ---------------------------------------------------------------- blocks
 
-BLOCK = "ids array<long>, held array<boolean>, sizes array<int>, tokens binary, vocabulary array<string>, counts array<long>, endings array<int>, hashes binary"
+BLOCK = "ids array<long>, held array<boolean>, sizes array<int>, tokens binary, hashes array<long>, counts array<long>, endings array<smallint>"
+BLOCK_BYTES = 4 << 20
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -72,7 +73,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for rows, data, offsets in words.chunks(batches, "text"):
+        for rows, data, offsets in words.chunks(batches, "text", BLOCK_BYTES):
             data = words.LOWER[data]
             starts, ends, before = words.spans(data, offsets, words.NOT_SPACE)
             h = words.hashes(data, starts, ends)
@@ -85,21 +86,29 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             s, e = starts[first], ends[first]
             tail = [np.where(e - s > j, data[np.maximum(e - 1 - j, 0)], 0).astype(np.int64) for j in range(3)]
             ending = np.append((tail[0] * 40_503 + tail[1] * 509 + tail[2] * 131) % ENDINGS, 0)
-            flat = words.gather(data, s, e)
-            vocabulary = pa.concat_arrays([flat.cast(pa.large_string()), pa.array([END], pa.large_string())]).cast(pa.string())
             one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind) if not isinstance(x, pa.Array) else x)
-            end_hash = np.array([np.iinfo(np.uint64).max], np.uint64)
+            hashes = np.append(keys, END).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [one(rows.column("id"), None), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([pack.compress(tokens.tobytes())]), one(vocabulary, None), one(counts, pa.int64()), one(ending, pa.int32()), pa.array([np.concatenate([keys, end_hash]).tobytes()])],
-                names=["ids", "held", "sizes", "tokens", "vocabulary", "counts", "endings", "hashes"],
+                [one(rows.column("id"), None), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([pack.compress(tokens.tobytes())]), one(hashes, pa.int64()), one(counts, pa.int64()), one(ending, pa.int16())],
+                names=["ids", "held", "sizes", "tokens", "hashes", "counts", "endings"],
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held"), F.col(text_col).alias("text"))
     return staged(texts.mapInArrow(run, BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
-def tokens_of(row: dict) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.uint32)
+def cells(batch: pa.RecordBatch, i: int) -> dict:
+    """The lists of one row as numpy arrays (ids as Arrow, for its nulls), and its tokens."""
+    out = {}
+    for name, column in zip(batch.schema.names, batch.columns, strict=True):
+        if name == "tokens":
+            out[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(column[i].as_py()), np.uint32)
+        else:
+            flat = column.slice(i, 1).flatten()
+            out[name] = flat if name == "ids" else flat.to_numpy(zero_copy_only=False)
+    if "hashes" in out:
+        out["hashes"] = out["hashes"].view(np.uint64)
+    return out
 
 
 def symbols_of(model: Model, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
@@ -111,13 +120,6 @@ def symbols_of(model: Model, hashes: np.ndarray, endings: np.ndarray) -> np.ndar
     return out
 
 
-def word_hash(word: str) -> int:
-    if word == END:
-        return np.iinfo(np.uint64).max
-    data, offsets = words.buffer_of(pa.array([word]))
-    return int(words.hashes(data, offsets[:1], offsets[1:])[0])
-
-
 # ---------------------------------------------------------------- training
 
 
@@ -169,12 +171,12 @@ def counted(model: Model, blocks: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            for row in batch.to_pylist():
-                held, sizes = np.array(row["held"], bool), np.array(row["sizes"], np.int64)
+            for i in range(len(batch)):
+                row = cells(batch, i)
+                held, sizes = row["held"].astype(bool), row["sizes"].astype(np.int64)
                 if held.all():
                     continue
-                hashes = np.frombuffer(row["hashes"], np.uint64)
-                symbols = symbols_of(model, hashes, np.array(row["endings"]))[tokens_of(row)[~np.repeat(held, sizes)]]
+                symbols = symbols_of(model, row["hashes"], row["endings"])[row["tokens"][~np.repeat(held, sizes)]]
                 got = expected(model, *cut_segments(symbols, sizes[~held]))
                 flat = np.concatenate([np.ravel(x) for x in got])
                 total = flat if total is None else total + flat
@@ -198,9 +200,9 @@ def reestimated(model: Model, sums: np.ndarray, share: np.ndarray) -> Model:
 
 
 def vocabulary_of(blocks: DataFrame) -> DataFrame:
-    """(word, c, ending) for the training words. Staged."""
-    each = blocks.select(F.explode(F.arrays_zip("vocabulary", "counts", "endings")).alias("w")).where("w.counts > 0")
-    return staged(each.groupBy(F.col("w.vocabulary").alias("word")).agg(F.sum("w.counts").alias("c"), F.min("w.endings").alias("ending")), "vocabulary")
+    """(word, c, ending) for the training words, which are named by their hash. Staged."""
+    each = blocks.select(F.explode(F.arrays_zip("hashes", "counts", "endings")).alias("w")).where("w.counts > 0")
+    return staged(each.groupBy(F.col("w.hashes").alias("word")).agg(F.sum("w.counts").alias("c"), F.min("w.endings").alias("ending")), "vocabulary")
 
 
 def fit(blocks: DataFrame, vocabulary: DataFrame, states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> Model:
@@ -212,7 +214,7 @@ def fit(blocks: DataFrame, vocabulary: DataFrame, states: int = STATES, rounds:
     for r in top:
         endings_n[r["ending"]] -= r["c"]
         endings_v[r["ending"]] -= 1
-    hashes = np.array([word_hash(r["word"]) for r in top], np.uint64)
+    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     turn = np.argsort(hashes)
     share = np.concatenate([[r["c"] for r in top], endings_n + SMOOTH]) if top else endings_n + SMOOTH
     share = share / share.sum()
@@ -250,10 +252,9 @@ SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens l
 
 
 def scored_block(model: Model, row: dict) -> list[np.ndarray]:
-    sizes, local = np.array(row["sizes"], np.int64), tokens_of(row)
-    hashes, endings = np.frombuffer(row["hashes"], np.uint64), np.array(row["endings"])
+    sizes, local, hashes, endings = row["sizes"].astype(np.int64), row["tokens"], row["hashes"], row["endings"]
     c = np.zeros(len(hashes))
-    c[np.array(row["at"], np.int64)] = row["c"]
+    c[row["at"]] = row["c"]
     base = np.log10((c + SMOOTH) / (model.total + SMOOTH * (model.distinct + 1)))
     symbols = symbols_of(model, hashes, endings)
     inside = np.log10((c + SMOOTH) / (model.ending_n[endings] + SMOOTH * (model.ending_v[endings] + 1)))
@@ -272,17 +273,17 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                row = batch.slice(i, 1).to_pylist()[0]
+                row = cells(batch, i)
                 n, known, base, score = scored_block(model, row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.total)), pa.array(base), pa.array(score)],
+                    [row["ids"], pa.array(row["held"].astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(len(n), model.total)), pa.array(base), pa.array(score)],
                     names=[c.split()[0] for c in SCORES.split(", ")],
                 )
 
-    each = blocks.select("block", F.posexplode("vocabulary").alias("at", "word"))
+    each = blocks.select("block", F.posexplode("hashes").alias("at", "word"))
     known = each.join(vocabulary.select("word", "c"), "word").select("block", "at", "c")
     # One row for each word of a block: bounded by the block's text.
     counts = staged(known.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c")), "block-counts")
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    ready = blocks.drop("vocabulary", "counts").join(counts, "block", "left").withColumns({"at": F.coalesce("at", none("int")), "c": F.coalesce("c", none("long"))})
+    ready = blocks.drop("counts").join(counts, "block", "left").withColumns({"at": F.coalesce("at", none("int")), "c": F.coalesce("c", none("long"))})
     return ready.drop("block").mapInArrow(run, SCORES).withColumnRenamed("id", id_col)
