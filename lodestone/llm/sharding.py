@@ -66,7 +66,7 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write each shard's rows in slot order as Parquet under ``path``/shard=N; returns the plan."""
+    """Write each shard's rows as Parquet under ``path``/shard=N, each file a range of slots in order; returns the plan."""
     plan = staged(shard_plan(docs, shards, seed, id_col, text_col), "plan")
     ranked = plan.groupBy(id_col, "text_crc32").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("_places"))
     keyed = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
@@ -76,5 +76,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     ranked = ranked.withColumnsRenamed({id_col: "_id", "text_crc32": "_crc"})
     placed = left.join(ranked, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_crc32") == F.col("_crc")))
     placed = placed.select(*docs.columns, F.get("_places", F.col("_nth")).alias("_p")).select(*docs.columns, "_p.shard", "_p.slot")
-    placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return plan
