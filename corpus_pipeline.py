@@ -16,10 +16,18 @@ from lodestone.llm.common import read, staged
 LEAST_SCORE = 0.4
 
 
+def plainly(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named by place, so that none clashes with an operator's, and the names."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; ``und`` and hopelessly unsure ones go."""
-    found = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    plain, at = plainly(docs)
+    found = langid.predict(plain, langid.fit(docs), at["text"], tuple(plain.columns))
+    sure = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return sure.select(*plain.columns).toDF(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +38,18 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item."""
-    found = decontaminate.with_matches(docs, read(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(F.size("matches") == 0).select(*docs.columns)
+    plain, at = plainly(docs)
+    found = decontaminate.with_matches(plain, read(spark, sf_dir, "benchmark"), text_col=at["text"], keep=tuple(plain.columns))
+    return found.where(F.size("matches") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    plain, at = plainly(docs)
     taken = staged(mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "taken")
-    picked = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
-    return picked.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    picked = plain.join(taken, plain[at["doc_id"]].eqNullSafe(taken["doc_id"]))
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return picked.select(*plain.columns, copies.alias("copy")).drop("copy").toDF(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -148,10 +148,9 @@ def with_matches(docs: DataFrame, tests: DataFrame, window: int = WINDOW, text_c
     tests = tests.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where("item is not null")
     total = tests.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    clash = {"text", "matches", "n_words"} & (set(keep) - {text_col})
-    if clash:
-        raise ValueError(f"kept columns {sorted(clash)} clash with the result's")
-    out = docs.select(*[F.col(c) for c in keep if c != text_col], F.col(text_col).alias("text"))
+    # Names of kept columns never meet the ones used here.
+    kept = {c: f"_keep{i}" for i, c in enumerate(keep)}
+    out = docs.select(*[F.col(c).alias(n) for c, n in kept.items() if c != text_col], F.col(text_col).alias("text"))
     for b in range(blocks):
         part = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item").collect()
         data, offsets = words.buffer_of(pa.array([r["text"] for r in part], pa.string()))
@@ -160,7 +159,8 @@ def with_matches(docs: DataFrame, tests: DataFrame, window: int = WINDOW, text_c
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in ("text", "matches", "n_words")]
         ddl = ", ".join([*fields, "n_words long", f"matches {MATCH}", *(["text string"] if not last or text_col in keep else [])])
         out = searched(out, [r["item"] for r in part], test, begins, window, ddl)
-    return out
+    names = [F.col("text" if c == text_col else n).alias(c) for c, n in kept.items()]
+    return out.select(*names, "n_words", "matches")
 
 
 def searched(docs: DataFrame, ids: list[str], test: np.ndarray, begins: np.ndarray, window: int, ddl: str) -> DataFrame:

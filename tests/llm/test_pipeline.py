@@ -20,6 +20,15 @@ def test_stages(spark, data):
     assert corpus_pipeline.run(spark, data).count() == docs.count()
 
 
+def test_stages_take_awkward_rows_and_names(spark, data, odd, nothing):
+    for docs in (odd, nothing):
+        docs = docs.withColumns({c: docs["row"] for c in ("score", "lang_pred", "matches", "n_words", "copies", "copy", "id", "_text", "kept")})
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = staged(stage(spark, docs, data), "test")
+            assert out.columns == docs.columns and out.count() <= 3 * docs.count()
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() == docs.count()
+
+
 def ids(df):
     return sorted(r["doc_id"] for r in df.select("doc_id").collect())
 
