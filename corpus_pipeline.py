@@ -47,6 +47,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Each document as often as the mix takes it."""
     plain, at = plainly(docs)
     taken = staged(mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "taken")
+    # Taken documents grow with the input, so this is a sort merge join at every size.
+    taken = taken.hint("merge")
     picked = plain.join(taken, plain[at["doc_id"]].eqNullSafe(taken["doc_id"]))
     copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
     return picked.select(*plain.columns, copies.alias("copy")).drop("copy").toDF(*docs.columns)

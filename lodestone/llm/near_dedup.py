@@ -278,7 +278,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = staged(keyed.join(shared, level[0]).drop("n", "first"), "keyed")
     tokens = staged(rows.select("row", "tokens").join(keyed.select("row").distinct(), "row"), "tokens")
 
-    links, number = [], 0
+    links, verdicts, number = [], [], 0
     while number == 0 or not keyed.isEmpty():
         group = [level[0], level[min(number, len(level) - 1)]][: number + 1]
         sizes = staged(keyed.groupBy(*group).agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "sizes")
@@ -288,6 +288,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         hubs = staged(marked.where("is_hub").select(*group, F.col("row").alias("hub")), "hubs")
         full = staged(marked.join(hubs, group).where("row <> hub and (not is_hub or row > hub)"), "full")
         verdict = staged(verified(full.select("hub", "row").distinct(), tokens, similarity), "verdicts")
+        verdicts.append(verdict)
         links.append(verdict.where("near").select(F.col("hub").alias("u"), F.col("row").alias("v")))
         apart = full.where("not is_hub").join(verdict, ["hub", "row"]).groupBy(*level, "row").agg(F.max("near").alias("near"))
         old, keyed = keyed, staged(apart.where("not near").drop("near"), "apart")
@@ -301,6 +302,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = staged(
         members.join(roots.withColumnRenamed("v", "vertex"), "vertex", "left").select("row", "id", F.coalesce("root", "vertex").alias("root")), "placed"
     )
+    for x in (rows, vertices, members, shared, keyed, tokens, *verdicts):
+        discard(spark, x)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = staged(placed.groupBy("root").agg(best.alias("best"), F.count("*").alias("class_size")), "classes")
     return placed.join(classes, "root").select(
