@@ -1,0 +1 @@
+"""The workload has no streams; a place for them."""
