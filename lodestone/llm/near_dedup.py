@@ -12,8 +12,14 @@ are the connected texts. Method:
 * Candidates. In each group of equal keys every text is paired with one hub only, so a
   group of n texts makes n - 1 pairs. The texts that turn out not to be similar to the hub
   are grouped again among themselves, by longer tuples and with more hubs in later rounds
-  (4, 16, then ``HUBS``, chosen by hash), until no such group has two texts. Pairs grow with
-  texts times hubs, never with the square of a group, and no group is capped.
+  (4, 16, then ``HUBS``, chosen by hash), until no such group has two texts. These pairs grow
+  with texts times hubs; longer tuples only order the work.
+* Completion. Texts of one group of equal two-tuples that the links so far don't join are
+  paired exactly: texts with at most d edits share all but d words, so in any common order
+  of words they share one of the first d + 1. Words that the group's hub lacks come first,
+  then by rarity, so a passage that the group shares pairs nothing. Pairs that the words'
+  places or the lengths rule out are left out. Two texts that share a two-tuple are thus
+  joined, compared or ruled out by a bound; no group is capped.
 * Verification. Pairs pass a count filter (words in common) and then a banded alignment:
   bit-parallel edit distance over a band of diagonals as wide as the distance allowed.
 * Classes. Links are contracted by alternating large-star and small-star steps, each
@@ -52,6 +58,7 @@ SIMILARITY = 0.8
 SEED = 11
 NARROW = 24
 HUBS = 64
+RARITY_BITS = 18
 
 
 # ---------------------------------------------------------------- sketches
@@ -230,6 +237,80 @@ def verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     return both.select("hub", "row", "a", "b").mapInArrow(run, "hub long, row long, near boolean")
 
 
+# ---------------------------------------------------------------- completion
+
+
+def rarity(tokens: DataFrame) -> np.ndarray:
+    """Occurrences of words by the low bits of their hashes; it orders words only, so sharing a place costs no result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column("tokens"):
+                np.add.at(total, np.frombuffer(x.as_buffer(), np.uint32) & np.uint32(len(total) - 1), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "n"])
+
+    found = tokens.select("tokens").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def labelled(t: np.ndarray) -> np.ndarray:
+    """Words with the number of their occurrence in the low 32 bits, sorted."""
+    t = np.sort(t).astype(np.uint64)
+    at = np.arange(len(t))
+    first = np.ones(len(t), bool)
+    first[1:] = t[1:] != t[:-1]
+    return t << np.uint64(32) | (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+
+
+def prefix(t: np.ndarray, hub: np.ndarray, often: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The first labelled words of a text, of which a similar text has one among its own first."""
+    own = labelled(t)
+    turn = np.lexsort((own, often[(own >> np.uint64(32)) & np.uint64(len(often) - 1)], np.isin(own, labelled(hub))))
+    return own[turn[: int(len(own) * (1 - least) + 1e-9) + 1]]
+
+
+def completed(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
+    """Pairs (hub, row) of members (hub, row, root) of one hub with other roots that may be similar."""
+    often = rarity(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(c)] for c in "ab")
+            got = [prefix(y, x, often, least) for x, y in zip(a, b, strict=True)]
+            many = np.array([len(x) for x in got])
+            row = pa.array(np.repeat(np.arange(len(got)), many))
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            size = np.repeat([len(x) for x in b], many)
+            word = np.concatenate(got) if got else np.zeros(0, np.uint64)
+            flat = pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(row) for c in ("hub", "row", "root")), pa.array(word.view(np.int64)), pa.array(size, pa.int32()), pa.array(size - place, pa.int32())],
+                names=["hub", "row", "root", "word", "n", "left"],
+            )
+            for at in range(0, len(flat), 1 << 16):
+                yield flat.slice(at, 1 << 16)
+
+    half = members.join(tokens, "row").select("hub", "row", "root", F.col("tokens").alias("b"))
+    both = half.join(tokens.select(F.col("row").alias("hub"), F.col("tokens").alias("a")), "hub")
+    each = both.select("hub", "row", "root", "a", "b").mapInArrow(run, "hub long, row long, root long, word long, n int, left int")
+    # Only words of two texts at least pair any.
+    each = staged(each, "prefixes")
+    several = each.groupBy("hub", "word").agg(F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hub", "word")
+    each_several = staged(each.join(several, ["hub", "word"]), "prefix-words")
+    x, y = each_several.alias("x"), each_several.alias("y")
+    # Words in common: at most those from the first shared one on, at least all but the edits allowed.
+    need = F.greatest("x.n", "y.n") - F.floor(F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
+    same = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.word") == F.col("y.word"))
+    may = (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.left", "y.left", "x.n", "y.n") >= need)
+    pairs = staged(x.join(y.hint("merge"), same & may).select(F.col("x.row").alias("hub"), F.col("y.row").alias("row")).distinct(), "pairs")
+    for old in (each, each_several):
+        discard(members.sparkSession, old)
+    return pairs
+
+
 # ---------------------------------------------------------------- classes
 
 
@@ -277,6 +358,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = staged(keyed.groupBy(level[0]).agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "shared")
     keyed = staged(keyed.join(shared, level[0]).drop("n", "first"), "keyed")
     tokens = staged(rows.select("row", "tokens").join(keyed.select("row").distinct(), "row"), "tokens")
+    # Groups by their first hub; groups of one hub count as one.
+    grouped = staged(keyed.join(shared, level[0]).where("row <> first").select(F.col("first").alias("hub"), "row").distinct(), "grouped")
 
     links, verdicts, number = [], [], 0
     while number == 0 or not keyed.isEmpty():
@@ -299,6 +382,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for more in links[1:]:
         union = union.unionByName(more)
     roots = components(union)
+    rooted = grouped.join(roots.withColumnRenamed("v", "row"), "row", "left").select("hub", "row", F.coalesce("root", "row").alias("root"))
+    split = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hub")
+    apart = staged(rooted.join(split, "hub"), "split")
+    if not apart.isEmpty():
+        pairs = completed(apart, tokens, similarity)
+        verdict = staged(verified(pairs, tokens, similarity), "verdicts")
+        verdicts.append(verdict)
+        more = verdict.where("near").select(F.col("hub").alias("u"), F.col("row").alias("v"))
+        old, roots = roots, components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(more))
+        for x in (old, pairs):
+            discard(spark, x)
+    for x in (grouped, apart):
+        discard(spark, x)
     placed = staged(
         members.join(roots.withColumnRenamed("v", "vertex"), "vertex", "left").select("row", "id", F.coalesce("root", "vertex").alias("root")), "placed"
     )

@@ -119,6 +119,40 @@ def test_texts_that_share_a_passage_stay_apart_and_near_copies_inside_are_found(
     assert sum(r["kept"] for r in near(docs)) == 150
 
 
+def two_tuples(texts, bands=near_dedup.BANDS):
+    return near_dedup.sketch(*near_dedup.runs(*near_dedup.token_hashes(*words.buffer_of(pa.array(texts, pa.string())))), bands=bands)[:, :, 0]
+
+
+def test_scattered_edits_inside_a_large_group_are_found(spark):
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage = fresh(70)
+    texts = [fresh(15) + passage + fresh(15) for _ in range(300)]
+    for i in range(150, 190):
+        copy = list(texts[i])
+        for at in rng.sample(range(100), rng.randrange(5, 14)):
+            copy[at] = fresh(1)[0]
+        texts.append(copy)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    class_of = {r["doc_id"]: r["class_id"] for r in near(docs)}
+    keys = two_tuples([" ".join(t) for t in texts])
+    pairs = [(150 + i, 300 + i) for i in range(40)]
+    sharing = [(a, b) for a, b in pairs if (keys[a] == keys[b]).any()]
+    assert len(sharing) > 30 and all(class_of[a] == class_of[b] for a, b in sharing)
+    assert len(set(class_of.values())) == 300 + 40 - len([1 for a, b in pairs if class_of[a] == class_of[b]])
+
+
+def test_prefixes_keep_all_similar_pairs():
+    rng = np.random.default_rng(4)
+    often, hub = rng.integers(0, 50, 1 << near_dedup.RARITY_BITS), rng.integers(0, 40, 60).astype(np.uint32)
+    for _ in range(500):
+        a = rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint32)
+        b = a[rng.random(len(a)) > 0.08]
+        b = np.insert(b, rng.integers(0, len(b) + 1, len(a) // 12), 77).astype(np.uint32)
+        if near_dedup.similar(a, b):
+            assert np.isin(near_dedup.prefix(a, hub, often), near_dedup.prefix(b, hub, often)).any()
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r["v"]: r["root"] for r in near_dedup.components(links).collect()}
