@@ -153,6 +153,22 @@ def test_prefixes_keep_all_similar_pairs():
             assert np.isin(near_dedup.prefix(a, hub, often), near_dedup.prefix(b, hub, often)).any()
 
 
+def test_a_text_near_the_hub_still_meets_those_that_are_not(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(60):
+        hub = fresh(100)
+        x = fresh(19) + hub[19:]
+        texts += [hub, x, [*x[:19], *fresh(5), *x[24:]]]
+    texts = [" ".join(t) for t in texts]
+    keys = two_tuples(texts, bands=1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    class_of = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs, bands=1).collect()}
+    sharing = [i for i in range(0, 180, 3) if (keys[i] == keys[i + 1]).all() and (keys[i] == keys[i + 2]).all()]
+    assert len(sharing) > 10 and all(class_of[j] == i for i in sharing for j in (i, i + 1, i + 2))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r["v"]: r["root"] for r in near_dedup.components(links).collect()}
