@@ -15,6 +15,7 @@ from ..functions.text import is_integer_string, params_control, run_identifier,
 from ..functions.vectors import densify, dot, sparse_dot
 from ..operators import dense, evaluate, hnsw, ivf, profile, report, sparse, topk
 from ..sources import tasks, vectors
+from ..sources.staging import staged
 from . import fixtures as fx
 
 K_SPARSE, K_KNN, K_MIPS = 30, 15, 30
@@ -222,7 +223,7 @@ def inverted_index(spark, d):
 
 @query(f"WITH {_CORPUS}, {_ASKED}, t AS (SELECT DISTINCT term FROM asked UNION SELECT DISTINCT term FROM corpus), n AS (SELECT term, count(*) AS df FROM corpus GROUP BY ALL) SELECT term, sum(coalesce(df, 0)) OVER (ORDER BY term)::BIGINT AS offset_end FROM t LEFT JOIN n USING (term)")
 def term_offsets(spark, d):
-    df = sparse.term_df(corpus(spark, d))
+    df = staged(sparse.term_df(corpus(spark, d)), "term-df")
     terms = df.select("term").union(sparse_queries(spark, d).select("term")).distinct()
     return profile.term_offsets(df, terms)
 

@@ -79,6 +79,19 @@ def test_term_frequencies_and_offsets(spark, micro):
     assert sorted(map(tuple, profile.term_offsets(sparse.term_df(micro[0]), terms).collect())) == [(0, 2), (1, 3), (2, 6), (3, 6), (4, 7)]
 
 
+def test_offsets_do_not_depend_on_reused_exchanges(spark):
+    words = spark.range(5000).select(F.concat(F.lit("w"), F.sha2(F.col("id").cast("string"), 256)).alias("term"), (F.col("id") % 7).alias("df"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r["term"]: r["offset_end"] for r in profile.term_offsets(words, words.select("term"), range_rows=400).collect()}
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    total = 0
+    for r in sorted(words.collect(), key=lambda r: r["term"]):
+        total += r["df"]
+        assert got[r["term"]] == total
+
+
 def test_terms_outside_the_corpus_are_errors(spark):
     bad = spark.createDataFrame([(0, 5, 1.0)], "row_id long, term int, weight double")
     with pytest.raises(Exception, match="term outside"):
