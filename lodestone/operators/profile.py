@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import discard, staged
-
-RANGE_ROWS = 250_000
+from ..sources.staging import staged
+from .ranges import RANGE_ROWS, running_total
 
 
 def weight_range(triples: DataFrame) -> DataFrame:
@@ -50,21 +49,9 @@ def max_normalize(triples: DataFrame, id_col: str) -> DataFrame:
 
 
 def term_offsets(df: DataFrame, terms: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(term, offset_end): running sum of document frequencies over all ``terms`` in order, absent ones too.
-
-    Terms are cut into ranges of about ``range_rows``; each range is summed by itself and then
-    moved by the ranges before it (one row for each range). The ranges are written before
-    they are used, so both uses see the same ones, however often a task runs.
-    """
-    spark = df.sparkSession
+    """(term, offset_end): running sum of document frequencies over all ``terms`` in order, absent ones too."""
     known = staged(terms.join(df, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df")), "terms")
-    parts = max(1, -(-known.count() // range_rows))
-    ranged = staged(known.repartitionByRange(parts, "term").sortWithinPartitions("term").withColumn("part", F.spark_partition_id()), "term-ranges")
-    discard(spark, known)
-    inside = ranged.withColumn("inside", F.sum("df").over(Window.partitionBy("part").orderBy("term")))
-    totals = ranged.groupBy("part").agg(F.sum("df").alias("total"))
-    before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    return inside.join(F.broadcast(before), "part").select("term", (F.col("inside") + F.col("before")).alias("offset_end"))
+    return running_total(known, ["term"], "df", "offset_end", range_rows).select("term", "offset_end")
 
 
 def sample_rows(rows: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
