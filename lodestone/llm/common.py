@@ -1,49 +1,36 @@
-"""Shared pieces: staged tables in the shared folder, input columns, DuckDB texts."""
+"""Shared pieces: staged tables in the shared folder, row keys, input columns, DuckDB texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from ..sources.staging import delete, discard, new_folder, shared_folder, staged
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+__all__ = ["delete", "discard", "keyed", "lower_ascii", "new_folder", "plainly", "read", "shared_folder", "staged"]
 
-    Only where the session names none (tests, one machine) a temporary folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Columns that name a row for good: its file and its place in the file.
+ROW_KEY = ("_file", "_place")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
+def plainly(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named by place, so that none clashes with an operator's, and the names."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with columns named by place and ROW_KEY, which every run of a plan gives alike.
 
-    This cuts the lineage: a lost executor costs only the tasks after this point, and
-    values fixed here (block numbers, ids dealt by partition) can't change on a rerun.
+    A table of Parquet files has such keys; rows of any other plan are written first.
     """
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a staged table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    plain, _ = plainly(docs)
+    straight = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if not straight or "_metadata" in (c.lower() for c in docs.columns):
+        docs = plain = staged(plain, "keyed")
+    key = [F.col("_metadata.file_path").alias(ROW_KEY[0]), F.col("_metadata.row_index").alias(ROW_KEY[1])]
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, plain.columns, strict=True)], *key)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -53,13 +40,3 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def lower_ascii(text):
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)
-
-
-def table_bytes(df: DataFrame) -> int:
-    """Bytes of the files under ``df``, or 0 where it reads none."""
-    spark = df.sparkSession
-    jvm, conf, total = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
-    for f in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        total += path.getFileSystem(conf).getFileStatus(path).getLen()
-    return total

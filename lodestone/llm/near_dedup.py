@@ -57,7 +57,7 @@ DEPTHS = (2, 4, 8)
 SIMILARITY = 0.8
 SEED = 11
 NARROW = 24
-HUBS = 64
+HUBS = (1, 2, 4)
 RARITY_BITS = 18
 
 
@@ -131,8 +131,11 @@ def sketch(h: np.ndarray, begins: np.ndarray, bands: int = BANDS, depths: tuple[
 SKETCH = "id long, n_words int, h1 long, h2 long, keys binary, tokens binary"
 
 
-def sketched(docs: DataFrame, id_col: str, text_col: str, bands: int, seed: int) -> DataFrame:
-    """One row for each row of ``docs``: counts, a 128-bit hash of all words, keys, and the words as 32-bit hashes."""
+def sketched(docs: DataFrame, id_col: str, text_col: str, bands: int, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: counts, a 128-bit hash of all words, keys, the words as 64-bit hashes, and ``keep`` columns as ``keep0``, ``keep1``..."""
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)])
+    kept = plain.columns[2:]
+    ddl = ", ".join([SKETCH, *(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema[2:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in words.chunks(batches, "text"):
@@ -143,15 +146,14 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, bands: int, seed: int)
                 total = np.concatenate([[np.uint64(0)], np.cumsum(words.mix(h ^ (place * salt + salt)), dtype=np.uint64)])
                 sums.append((total[before[1:]] - total[before[:-1]]).view(np.int64))
             keys = sketch(*runs(h, before), bands=bands, seed=seed)
-            short = (h >> np.uint64(32)).astype(np.uint32)
             binary = lambda flat, cuts: pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(flat.tobytes())])
             width = keys[0].nbytes
             yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), pa.array(np.diff(before), pa.int32()), pa.array(sums[0]), pa.array(sums[1]), binary(keys, np.arange(len(rows) + 1) * width), binary(short, before * 4)],
-                names=["id", "n_words", "h1", "h2", "keys", "tokens"],
+                [rows.column("id"), pa.array(np.diff(before), pa.int32()), pa.array(sums[0]), pa.array(sums[1]), binary(keys, np.arange(len(rows) + 1) * width), binary(h, before * 8), *(rows.column(c) for c in kept)],
+                names=["id", "n_words", "h1", "h2", "keys", "tokens", *kept],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, SKETCH)
+    return plain.mapInArrow(run, ddl)
 
 
 # ---------------------------------------------------------------- alignment
@@ -229,7 +231,7 @@ def verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [similar(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32), least) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
+            near = [similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), least) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("row"), pa.array(near, pa.bool_())], names=["hub", "row", "near"])
 
     half = pairs.join(tokens, "row").select("hub", "row", F.col("tokens").alias("b"))
@@ -247,7 +249,7 @@ def rarity(tokens: DataFrame) -> np.ndarray:
         total = np.zeros(1 << RARITY_BITS, np.int64)
         for batch in batches:
             for x in batch.column("tokens"):
-                np.add.at(total, np.frombuffer(x.as_buffer(), np.uint32) & np.uint32(len(total) - 1), 1)
+                np.add.at(total, np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(len(total) - 1), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "n"])
 
@@ -257,19 +259,20 @@ def rarity(tokens: DataFrame) -> np.ndarray:
     return out
 
 
-def labelled(t: np.ndarray) -> np.ndarray:
-    """Words with the number of their occurrence in the low 32 bits, sorted."""
-    t = np.sort(t).astype(np.uint64)
+def labelled(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words, sorted, and each with the number of its occurrence as one 64-bit hash."""
+    t = np.sort(t)
     at = np.arange(len(t))
     first = np.ones(len(t), bool)
     first[1:] = t[1:] != t[:-1]
-    return t << np.uint64(32) | (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    turn = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    return t, words.mix(t + turn * np.uint64(0x632BE59BD9B4E019))
 
 
 def prefix(t: np.ndarray, hub: np.ndarray, often: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
     """The first labelled words of a text, of which a similar text has one among its own first."""
-    own = labelled(t)
-    turn = np.lexsort((own, often[(own >> np.uint64(32)) & np.uint64(len(often) - 1)], np.isin(own, labelled(hub))))
+    word, own = labelled(t)
+    turn = np.lexsort((own, often[word & np.uint64(len(often) - 1)], np.isin(own, labelled(hub)[1])))
     return own[turn[: int(len(own) * (1 - least) + 1e-9) + 1]]
 
 
@@ -279,7 +282,7 @@ def completed(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(c)] for c in "ab")
+            a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in "ab")
             got = [prefix(y, x, often, least) for x, y in zip(a, b, strict=True)]
             many = np.array([len(x) for x in got])
             row = pa.array(np.repeat(np.arange(len(got)), many))
@@ -341,13 +344,14 @@ def components(links: DataFrame) -> DataFrame:
         said = now
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, seed: int = SEED) -> DataFrame:
-    """One row for each row of ``docs``: id, class_id (smallest id of the class), class_size, kept (one row of each class)."""
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: id, class_id (smallest id of the class), class_size, kept (one row of each class), and ``keep`` columns."""
     spark = docs.sparkSession
-    rows = staged(sketched(docs, id_col, text_col, bands, seed).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    kept = [f"keep{i}" for i in range(len(keep))]
+    rows = staged(sketched(docs, id_col, text_col, bands, seed, keep).withColumn("row", F.monotonically_increasing_id()), "sketches")
     words_key = ["h1", "h2", "n_words"]
     vertices = staged(rows.groupBy(*words_key).agg(F.min("row").alias("vertex")), "vertices")
-    members = staged(rows.select("row", "id", *words_key).join(vertices, words_key).select("row", "id", "vertex"), "members")
+    members = staged(rows.select("row", "id", *kept, *words_key).join(vertices, words_key).select("row", "id", *kept, "vertex"), "members")
     own = vertices.where("n_words > 0").select(F.col("vertex").alias("row"))
 
     # Keys of the vertices, as big-endian hex of eight bytes each, by band and depth.
@@ -361,11 +365,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Groups by their first hub; groups of one hub count as one.
     grouped = staged(keyed.join(shared, level[0]).where("row <> first").select(F.col("first").alias("hub"), "row").distinct(), "grouped")
 
-    links, verdicts, number = [], [], 0
-    while number == 0 or not keyed.isEmpty():
-        group = [level[0], level[min(number, len(level) - 1)]][: number + 1]
+    links, verdicts = [], []
+    for number, hubs_of_group in enumerate(HUBS):
+        group = [level[0], level[number]][: number + 1]
         sizes = staged(keyed.groupBy(*group).agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "sizes")
-        one_in = F.ceil(F.col("n") / min(HUBS, 4**number))
+        one_in = F.ceil(F.col("n") / hubs_of_group)
         chosen = F.lit(False) if number == 0 else F.pmod(F.xxhash64("row", F.lit(number)), one_in) == 0
         marked = staged(keyed.join(sizes, group).withColumn("is_hub", (F.col("row") == F.col("first")) | chosen).drop("n", "first"), "marked")
         hubs = staged(marked.where("is_hub").select(*group, F.col("row").alias("hub")), "hubs")
@@ -375,9 +379,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links.append(verdict.where("near").select(F.col("hub").alias("u"), F.col("row").alias("v")))
         apart = full.where("not is_hub").join(verdict, ["hub", "row"]).groupBy(*level, "row").agg(F.max("near").alias("near"))
         old, keyed = keyed, staged(apart.where("not near").drop("near"), "apart")
-        for x in (old, sizes, marked, hubs, full):
-            discard(spark, x)
-        number += 1
+        discard(spark, old, sizes, marked, hubs, full)
     union = links[0]
     for more in links[1:]:
         union = union.unionByName(more)
@@ -391,17 +393,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         verdicts.append(verdict)
         more = verdict.where("near").select(F.col("hub").alias("u"), F.col("row").alias("v"))
         old, roots = roots, components(roots.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(more))
-        for x in (old, pairs):
-            discard(spark, x)
-    for x in (grouped, apart):
-        discard(spark, x)
+        discard(spark, old, pairs)
+    discard(spark, grouped, apart)
     placed = staged(
-        members.join(roots.withColumnRenamed("v", "vertex"), "vertex", "left").select("row", "id", F.coalesce("root", "vertex").alias("root")), "placed"
+        members.join(roots.withColumnRenamed("v", "vertex"), "vertex", "left").select("row", "id", *kept, F.coalesce("root", "vertex").alias("root")), "placed"
     )
-    for x in (rows, vertices, members, shared, keyed, tokens, *verdicts):
-        discard(spark, x)
+    discard(spark, rows, vertices, members, shared, keyed, tokens, *verdicts)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = staged(placed.groupBy("root").agg(best.alias("best"), F.count("*").alias("class_size")), "classes")
     return placed.join(classes, "root").select(
-        F.col("id").alias(id_col), F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept")
+        F.col("id").alias(id_col), F.col("best.id").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"), *[F.col(n).alias(c) for n, c in zip(kept, keep, strict=True)]
     )

@@ -55,14 +55,14 @@ def distance(a, b):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=20), st.lists(st.integers(0, 3), max_size=20), st.integers(0, 10))
 def test_banded_alignment(a, b, most):
-    got = near_dedup.banded_distance(np.array(a, np.uint32), np.array(b, np.uint32), most)
+    got = near_dedup.banded_distance(np.array(a, np.uint64), np.array(b, np.uint64), most)
     assert got == min(distance(a, b), most + 1)
 
 
 def tokens(texts):
     data, offsets = words.buffer_of(pa.array(texts, pa.string()))
     h, before = near_dedup.token_hashes(data, offsets)
-    return [(h[before[i] : before[i + 1]] >> np.uint64(32)).astype(np.uint32) for i in range(len(texts))]
+    return [h[before[i] : before[i + 1]] for i in range(len(texts))]
 
 
 def brute_classes(rows):
@@ -144,11 +144,11 @@ def test_scattered_edits_inside_a_large_group_are_found(spark):
 
 def test_prefixes_keep_all_similar_pairs():
     rng = np.random.default_rng(4)
-    often, hub = rng.integers(0, 50, 1 << near_dedup.RARITY_BITS), rng.integers(0, 40, 60).astype(np.uint32)
+    often, hub = rng.integers(0, 50, 1 << near_dedup.RARITY_BITS), rng.integers(0, 40, 60).astype(np.uint64)
     for _ in range(500):
-        a = rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint32)
+        a = rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)
         b = a[rng.random(len(a)) > 0.08]
-        b = np.insert(b, rng.integers(0, len(b) + 1, len(a) // 12), 77).astype(np.uint32)
+        b = np.insert(b, rng.integers(0, len(b) + 1, len(a) // 12), 77).astype(np.uint64)
         if near_dedup.similar(a, b):
             assert np.isin(near_dedup.prefix(a, hub, often), near_dedup.prefix(b, hub, often)).any()
 
@@ -173,3 +173,22 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "u long, v long")
     got = {r["v"]: r["root"] for r in near_dedup.components(links).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+
+
+def test_pairs_of_a_hot_group_grow_with_its_texts(spark, monkeypatch):
+    seen, verified = [], near_dedup.verified
+
+    def counted(pairs, *rest):
+        seen[-1] += pairs.count()
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage = fresh(300)
+    texts = [" ".join(fresh(45) + passage + fresh(45)) for _ in range(600)]
+    for n in (300, 600):
+        seen.append(0)
+        docs = spark.createDataFrame(list(enumerate(texts[:n])), "doc_id long, text string")
+        assert sum(r["kept"] for r in near(docs)) == n
+    assert seen[1] <= 2.2 * seen[0]
