@@ -12,13 +12,18 @@ allows; what remains is a budget smaller than the source, fitted over its docume
 4. Within a length, that many documents are chosen by a seeded hash.
 
 Step 4 needs no sort of a whole length: its documents are dealt into cells of about
-``CELL`` by their hash, cells are counted, and only the cell at the border is ordered.
-
-Defined results: a null or empty text has size 0, and is taken zero times; null is the last
-source, apart from the empty string; null ids and repeated rows are documents like any
-other, equal ones are interchangeable; other columns are ignored. The table of lengths of
-one source is the unit of step 3 (at most as many rows as the longest text has words);
-the table of sources (one row each) comes to the driver, checked against ``MOST_SOURCES``.
+``CELL`` by their hash, cells are counted, the counts are summed up in ranges, and only the
+cell at the border is ordered. Rows that share id, source and size share a hash; a cell that
+they overfill is dealt again by the row number.
+
+Sources are ranked and levelled as a table too; the driver gets the level alone. The table of
+lengths of one source is the unit of step 3 (at most as many rows as the longest text has
+words).
+
+Defined results: a null or empty text has size 0, and is taken zero times; a very long text is
+a length like any other; null is the last source, apart from the empty string; null ids, ties
+and repeated rows are documents like any other, equal ones are interchangeable; an empty table
+gives an empty result; other columns, of any name, are ignored unless kept.
 """
 
 from __future__ import annotations
@@ -30,30 +35,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from ..operators.ranges import running_total
+from .common import discard, staged
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 77
 CELL = 128
 DP_WORDS = 1 << 16
-MOST_SOURCES = 1_000_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], total: float, most: float = MOST) -> list[float]:
-    """Shares of ``total`` by weight, none above ``most`` times its size; the excess is shared again by weight."""
-    out, free, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0], float(total)
+def levelled(lengths: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: int = MOST) -> DataFrame:
+    """(source, source_size, target) from (source, size, n); staged.
+
+    Targets are the words times ``share`` by weight, none above ``most`` times its source; the
+    excess is shared again by weight. So a source gets its weight times one common level, or
+    its most if that is less, and the level rises until no more sources are at their most.
+    """
+    sums = staged(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.lit(1).alias("one")), "sums")
+    ranked = running_total(sums, [F.col("source").isNull(), F.col("source")], "one", "rank")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    ranked = staged(ranked.select("source", "source_size", (F.col("source_size") * most).alias("cap"), weight.alias("weight")), "sources")
+    having = ranked.where("source_size > 0")
+    words, free = having.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.sum("weight")).first()
+    total, level, seen = words * share, 0.0, 0
     while free:
-        unit = left / sum(weights[i] for i in free)
-        over = [i for i in free if weights[i] * unit > most * sizes[i]]
-        for i in over or free:
-            out[i] = float(most * sizes[i]) if over else weights[i] * unit
-        if not over:
+        level = total / free if not seen else (total - taken) / free
+        full = F.col("weight") * level > F.col("cap")
+        n, taken, free = having.agg(F.count_if(full), F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == seen:
             break
-        left -= sum(out[i] for i in over)
-        free = [i for i in free if i not in set(over)]
-    return out
+        seen = n
+    target = F.when(F.col("source_size") > 0, F.least(F.col("weight") * F.lit(level), F.col("cap").cast("double"))).otherwise(0.0)
+    return ranked.select("source", "source_size", target.alias("target"))
 
 
 def nearest_sum(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -114,27 +129,20 @@ def fitted(lengths: pd.DataFrame) -> pd.DataFrame:
     return lengths[["source", "size", "n", "rounds", "source_size", "target", "extra"]]
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of ``docs``: id, size, source_size, target, taken, copies, source.
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: id, size, source_size, target, taken, copies, source, and ``keep`` columns.
 
     ``taken`` counts the words the mix takes from the row, repeats included: size x copies.
     """
+    spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size")), "sized")
+    kept = [F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)]
+    sized = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *kept), "sized")
     lengths = staged(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
-    spark = docs.sparkSession
-    sums = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")).limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["source_size"] for r in sums]
-    wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(sums))], share * sum(sizes), most)
-    plan = []
-    for row, have, target in zip(sums, sizes, wanted, strict=True):
-        words = min(round(target), most * have)
-        rounds = words // have if have else 0
-        plan.append((row["source"], have, target, rounds, words - rounds * have))
-    plan = spark.createDataFrame(plan, "source string, source_size long, target double, rounds long, budget long")
+    plan = levelled(lengths, weights, share, most)
+    words = F.least(F.round("target").cast("long"), F.col("source_size") * most)
+    rounds = F.coalesce(F.try_divide(words, F.col("source_size")), F.lit(0.0)).cast("long")
+    plan = plan.select("source", "source_size", "target", rounds.alias("rounds"), (words - rounds * F.col("source_size")).alias("budget"))
 
     same = lambda a, b, *cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
     joined = lengths.alias("l").join(plan.alias("p"), same("l", "p", "source")).select("l.*", "p.source_size", "p.target", "p.rounds", "p.budget")
@@ -146,16 +154,26 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
     dealt = staged(
         sized.withColumn("h", F.xxhash64(F.lit(seed), "id", "source", "size")).alias("d")
         .join(lengths.alias("l"), same("d", "l", "source", "size"))
-        .select("d.*", "l.source_size", "l.target", "l.rounds", "l.extra", cell.alias("cell")),
+        .select("d.*", "l.source_size", "l.target", "l.rounds", "l.extra", cell.alias("cell"), F.lit(0).cast("long").alias("sub")),
         "dealt",
     )
-    cells = dealt.where("extra > 0").groupBy("source", "size", "cell").agg(F.count("*").alias("n"), F.first("extra").alias("extra"))
-    before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("cell")) - F.col("n")
-    cells = staged(cells.select("source", "size", "cell", F.greatest(F.lit(0), F.col("extra") - before).alias("quota")), "cells")
-    placed = dealt.alias("d").join(cells.alias("c"), same("d", "c", "source", "size", "cell"), "left").select("d.*", F.coalesce("c.quota", F.lit(0)).alias("quota"))
-    nth = F.row_number().over(Window.partitionBy("source", "size", "cell").orderBy("h", "id"))
-    copies = F.col("rounds") + F.when(nth <= F.col("quota"), 1).otherwise(0)
+    place = ["source", "size", "cell"]
+    # Only repeated hashes fill a cell this far.
+    hot = staged(dealt.where("extra > 0").groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > 8 * CELL), "hot-cells")
+    if not hot.isEmpty():
+        sub = F.when(F.col("c.n").isNotNull(), F.pmod(F.xxhash64(F.lit(seed), "d.row"), F.ceil(F.col("c.n") / CELL))).otherwise(0).cast("long")
+        old, dealt = dealt, staged(dealt.drop("sub").alias("d").join(hot.alias("c"), same("d", "c", *place), "left").select("d.*", sub.alias("sub")), "dealt")
+        discard(spark, old)
+    discard(spark, sized, hot)
+    cells = staged(dealt.where("extra > 0").groupBy(*place, "sub").agg(F.count("*").alias("n"), F.first("extra").alias("extra")), "cell-sizes")
+    upto = running_total(cells, [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("cell"), F.col("sub")], "n", "upto").withColumn("begin", F.col("upto") - F.col("n"))
+    begins = upto.groupBy("source", "size").agg(F.min("begin").alias("first"))
+    quota = F.greatest(F.lit(0), F.col("u.extra") - (F.col("u.begin") - F.col("b.first")))
+    quotas = staged(upto.alias("u").join(begins.alias("b"), same("u", "b", "source", "size")).select("u.source", "u.size", "u.cell", "u.sub", quota.alias("quota")), "cells")
+    placed = dealt.alias("d").join(quotas.alias("c"), same("d", "c", *place, "sub"), "left").select("d.*", F.coalesce("c.quota", F.lit(0)).alias("quota"))
+    nth = F.row_number().over(Window.partitionBy(*place, "sub").orderBy("h", "id", "row"))
+    copies = F.when(F.col("size") > 0, F.col("rounds") + F.when(nth <= F.col("quota"), 1).otherwise(0)).otherwise(0)
     return placed.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.when(F.col("size") > 0, copies).otherwise(0)).alias("taken"),
-        F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies"), F.col("source").alias(source_col),
+        F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.cast("int").alias("copies"), F.col("source").alias(source_col),
+        *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)],
     )

@@ -11,7 +11,7 @@ from .decontaminate import contamination, with_matches
 from .exact_dedup import exact_groups
 from .mixing import mix
 from .near_dedup import near_classes
-from .sharding import shard_plan
+from .sharding import sharded
 from .token_counts import TokenLedger, changes, counts_of
 from .token_files import token_round_trip
 from .warc import archive_round_trip
@@ -31,7 +31,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return sharded(read(spark, sf_dir, "documents")).select("doc.doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

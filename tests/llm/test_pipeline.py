@@ -29,6 +29,42 @@ def test_stages_take_awkward_rows_and_names(spark, data, odd, nothing):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() == docs.count()
 
 
+SAME = "the very same words of a text that is long enough to be cut into several runs"
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Equal ids with different texts, equal rows, null ids and copies under other ids."""
+    other = "nothing in this line has to do with any of the other lines in this small table"
+    rows = [(1, SAME, "en", "a"), (5, SAME, "en", "a"), (5, other, "en", "a"), (9, "z " + other[::-1], "en", "b"), (9, "z " + other[::-1], "en", "b"), (None, "z " + other[::-1], "en", "b")]
+    rows += [(None, f"{i} " * 20, "en", "c") for i in range(20)] + [(None, f"{i} " * 20, "en", "c") for i in range(20)] + [(7, None, None, None)] * 3
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    return staged(docs.repartition(3), "repeated")
+
+
+def test_near_dedup_keeps_one_row_of_each_text(spark, data, repeated):
+    out = staged(corpus_pipeline.near_dedup_stage(spark, repeated, data), "test")
+    kept, first = [(r["doc_id"], r["text"]) for r in out.collect()], {}
+    for r in repeated.collect():
+        first.setdefault(r["text"], []).append(r["doc_id"])
+    want = [(min((i for i in ids if i is not None), default=None), t) for t, ids in first.items()]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
+def test_mixing_takes_each_row_by_itself(spark, data, repeated):
+    out = staged(corpus_pipeline.mixing_stage(spark, repeated, data), "test")
+    key = lambda d, t: (repr(d), len((t or "").split()))
+    want = sorted(key for r in mixing.mix(repeated).collect() for key in [(repr(r["doc_id"]), r["size"])] * r["copies"])
+    assert sorted(key(r["doc_id"], r["text"]) for r in out.collect()) == want
+    assert not out.where("text is null").count()
+
+
+def test_the_last_stage_returns_the_records(spark, data, repeated):
+    out = staged(corpus_pipeline.sharding_stage(spark, repeated, data), "test")
+    assert sorted(map(repr, out.select(*repeated.columns).collect())) == sorted(map(repr, repeated.collect()))
+    assert {"size", "text_crc32", "law", "shard", "slot"} < set(out.columns)
+
+
 def ids(df):
     return sorted(r["doc_id"] for r in df.select("doc_id").collect())
 
