@@ -1,8 +1,10 @@
 """Token ids in files of shuffled planes.
 
-Encoding. Texts are cut before each single space between two characters that are no white
-space; no pre-token of a byte-level BPE crosses such a cut, so ids of the pieces are the ids
-of the text. Each worker encodes a distinct piece once, with the tokenizers library.
+Encoding. Texts are cut around each added token of the vocabulary (a special token's string
+is that token's id, as the library has it), and before each single space between two
+characters that are no white space; no pre-token of a byte-level BPE crosses such a cut, so
+ids of the pieces are the ids of the text. Each worker encodes a distinct piece once, with
+the tokenizers library.
 
 File format (all little-endian). ``LPLANE01``; then the chunks; then a footer and its place.
 A chunk is ``CHUNK_IDS`` ids as unsigned 32-bit integers (the last one fewer), transposed
@@ -16,12 +18,14 @@ and returns their index rows. A lost task leaves an orphan file that no index ro
 Starts are sums over the table of files (one row each), not over documents.
 
 Defined results: a null text is empty (one end id); a null id sorts first; repeated rows are
-written one after another; an empty table writes no file; other columns are ignored.
+written one after another; a very long text spans chunks (its worker holds the text and its
+ids); an empty table writes no file; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import sys
 import uuid
@@ -90,7 +94,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens that take white space or whole words only aren't supported")
+        # The longest of those that begin at a place, as the library matches them.
+        strings = sorted((t.content.encode() for t in added if t.content), key=lambda t: (-len(t), t))
+        self.added = re.compile(b"|".join(map(re.escape, strings))) if strings else None
         # In a byte-level vocabulary each character of a token stands for one byte.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -137,11 +146,22 @@ class Encoder:
         turn = np.argsort(keys, kind="stable")
         self.keys, self.at, self.size, self.ids = keys[turn], at[turn], size[turn], np.concatenate([self.ids, ids])
 
+    def tokens_in(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Begin and end of each added token's string inside a text."""
+        raw = data[: offsets[-1]].tobytes()
+        if self.added and self.added.search(raw):
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                yield from (m.span() for m in self.added.finditer(raw, a, b))
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and the number of ids of each text with it."""
         begins = np.zeros(len(data), bool)
-        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         begins[cuts(data)] = True
+        for a, b in self.tokens_in(data, offsets):
+            begins[a + 1 : b] = False
+            begins[[a, b]] = True
+        begins[offsets[-1] :] = False
+        begins[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(begins)
         ends = np.append(starts[1:], offsets[-1]) if len(starts) else starts
         keys, first, inverse = np.unique(words.hashes(data, starts, ends), return_index=True, return_inverse=True)

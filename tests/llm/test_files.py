@@ -22,9 +22,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +42,21 @@ def test_pieces_give_the_tokenizers_ids(tokenizer, encoder, texts):
     assert ids.tolist() == [i for t in texts for i in ids_of(tokenizer, t)] and counts.tolist() == [len(ids_of(tokenizer, t)) for t in texts]
 
 
+SPECIAL = "<|endoftext|>"
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([SPECIAL, SPECIAL[:5], SPECIAL[5:], " ", "  ", "a", "be", "'s", ".", "\n", "é", "|>"]), max_size=8).map("".join), min_size=1, max_size=4))
+def test_special_tokens_in_texts(tokenizer, encoder, texts):
+    ids, counts = encoder.encode(*words.buffer_of(pa.array(texts, pa.string())))
+    assert ids.tolist() == [i for t in texts for i in ids_of(tokenizer, t)] and counts.tolist() == [len(ids_of(tokenizer, t)) for t in texts]
+
+
+def test_a_special_token_is_its_id(encoder):
+    ids, _ = encoder.encode(*words.buffer_of(pa.array([f"hello {SPECIAL} world", SPECIAL[:4], SPECIAL[4:], SPECIAL * 2])))
+    assert ids.tolist().count(50256) == 3
+
+
 def test_a_full_memory_of_pieces_begins_anew(tokenizer, monkeypatch):
     monkeypatch.setattr(tf, "KNOWN_PIECES", 6)
     encoder = tf.Encoder(PATH)
