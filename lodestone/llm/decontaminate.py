@@ -10,9 +10,12 @@ once, from its first word, with item, place in item, place in document and lengt
 Documents are never shuffled. Test items go to the executors with the task, in blocks of at
 most ``BLOCK_BYTES`` of text, one pass over the documents for each block.
 
-Defined results: null and empty texts have no words and no matches; items without words
-match nothing; an item shorter than the window matches as a whole; repeated rows are each
-searched; a null id is kept; other columns, also of clashing names, are ignored.
+Defined results: null and empty texts have no words and no matches; a very long text is a shard
+of its own; items without words match nothing; an item shorter than the window matches as a
+whole; an item with a null id hits words and counts as one item, but has no id to list; of
+items with equal texts each is matched; repeated rows are each searched; a null id is kept; an
+empty table of either kind gives no matches; other columns, also of clashing names, are
+ignored, and a kept column that is named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -145,21 +148,21 @@ def matches_in(batches: Iterator[pa.RecordBatch], ids: list[str], test: np.ndarr
 
 def with_matches(docs: DataFrame, tests: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of ``docs`` with n_words and all longest matches with test items."""
-    tests = tests.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text")).where("item is not null")
-    total = tests.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    tests = tests.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    total = tests.agg(F.sum(F.octet_length("text") + F.octet_length(F.coalesce("item", F.lit(""))))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
     # Names of kept columns never meet the ones used here.
     kept = {c: f"_keep{i}" for i, c in enumerate(keep)}
     out = docs.select(*[F.col(c).alias(n) for c, n in kept.items() if c != text_col], F.col(text_col).alias("text"))
     for b in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).orderBy("item").collect()
+        part = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).orderBy("item", "text").collect()
         data, offsets = words.buffer_of(pa.array([r["text"] for r in part], pa.string()))
         test, begins = hashed_words(data, offsets)
         last = b == blocks - 1
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema if f.name not in ("text", "matches", "n_words")]
         ddl = ", ".join([*fields, "n_words long", f"matches {MATCH}", *(["text string"] if not last or text_col in keep else [])])
         out = searched(out, [r["item"] for r in part], test, begins, window, ddl)
-    names = [F.col("text" if c == text_col else n).alias(c) for c, n in kept.items()]
+    names = [F.col("text" if c == text_col else n).alias(c) for c, n in kept.items() if c not in ("n_words", "matches")]
     return out.select(*names, "n_words", "matches")
 
 

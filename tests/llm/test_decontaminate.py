@@ -102,3 +102,14 @@ def test_random_shards_agree(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(rng.choice("abc") for _ in range(60))) for i in range(40)], "doc_id long, text string")
     tests = spark.createDataFrame([(i, " ".join(rng.choice("abc") for _ in range(14))) for i in range(30)], "item_id long, text string")
     assert table(de.with_matches(docs, tests, window=6)) == plain(docs.collect(), tests.collect(), 6)
+
+
+def test_items_without_an_id_hit_words(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "nothing here")], "doc_id long, text string")
+    tests = spark.createDataFrame([(None, passage), (4, passage + " w99")], "item_id long, text string")
+    rows = {r["doc_id"]: r for r in de.contamination(de.with_matches(docs, tests)).collect()}
+    assert (rows[1]["n_hit"], rows[1]["n_items"], rows[1]["contaminated"]) == (12, 2, True) and not rows[2]["contaminated"]
+    assert rows[1]["items_sha256"] == hashlib.sha256(b"4").hexdigest()
+    alone = de.contamination(de.with_matches(docs, tests.where("item_id is null"))).where("doc_id = 1").first()
+    assert (alone["n_hit"], alone["n_items"], alone["items_sha256"]) == (12, 1, hashlib.sha256(b"").hexdigest())
