@@ -6,12 +6,16 @@ largest response of each filter in the window, after a rectifier, feeds a softma
 A text's probabilities are the mean over all its windows, weighted by their bytes.
 
 Training runs in numpy on the driver over a bounded sample: about ``PER_LANGUAGE`` texts of
-each language, chosen by a seeded hash of the id, and ``WINDOWS_PER_TEXT`` windows at hashed
-places of each. Prediction reads every byte of every text, without a shuffle.
+each language, fewer where there are so many languages that they would exceed ``SAMPLE_TEXTS``
+in all, chosen by a seeded hash of the id, and ``WINDOWS_PER_TEXT`` windows at hashed places of
+each. Prediction reads every byte of every text, without a shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; texts with a
-null language are predicted but never learned from; with nothing to learn from, all texts
-are ``und``; repeated rows and null ids are predicted like any other row.
+null language are predicted but never learned from; with nothing to learn from (an empty
+table, no labels), all texts are ``und``; a very long text is read in windows, all of it; of
+languages with equal probability the first by name is taken; repeated rows and null ids are
+predicted like any other row; columns of any name can be kept, but for those that are named
+like a result, which give way to it.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 WINDOW = 256
 PER_LANGUAGE = 1500
+SAMPLE_TEXTS = 200_000
 WINDOWS_PER_TEXT = 2
-MOST_LANGUAGES = 500
 EPOCHS = 6
 LEAST_STEPS = 600  # a small sample is gone over more often
 SEED = 5
@@ -139,12 +143,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, seed: int = SEED) -> Model:
     known = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = known.groupBy(F.col(lang_col).alias("lang")).count().limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    counts = known.groupBy(F.col(lang_col).alias("lang")).count().collect()
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Model([], [], np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+    per_language = min(per_language, max(1, SAMPLE_TEXTS // len(languages)))
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))])
     chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col), 11) / float(1 << 53)
     place = lambda i: F.lit(1) + F.pmod(F.xxhash64(F.lit(seed + i), id_col), F.greatest(F.lit(1), F.length(text_col) - WINDOW // 2)).cast("int")
@@ -169,14 +172,16 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with lang_pred and score (the mean probability of that language)."""
-    text = "_text"
-    plan = docs.select(*keep, F.col(text_col).alias(text))
-    result = StructType([*docs.select(*keep).schema.fields]).add("lang_pred", "string").add("score", "double")
+    # Inside, columns are named by place, so that none clashes.
+    keep = tuple(c for c in keep if c not in ("lang_pred", "score"))
+    kept = [f"k{i}" for i in range(len(keep))]
+    plan = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col(text_col).alias("text"))
+    result = StructType([*plan.select(*kept).schema.fields]).add("lang_pred", "string").add("score", "double")
     schema = to_arrow_schema(result)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
-        for rows, data, offsets in words.chunks(batches, text):
+        for rows, data, offsets in words.chunks(batches, "text"):
             best, score = np.full(len(rows), len(model.languages)), np.zeros(len(rows))
             known = has_letter(data, offsets)
             if model.languages and known.any():
@@ -185,7 +190,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[s
                 total = np.stack([np.bincount(row, p[:, j] * held, len(rows)) for j in range(len(model.languages))], 1)
                 total = total[known] / np.bincount(row, held, len(rows))[known, None]
                 best[known], score[known] = total.argmax(1), np.minimum(total.max(1), 1.0)
-            columns = [rows.column(c) for c in keep] + [pa.array(names[best], pa.string()), pa.array(score)]
+            columns = [rows.column(k) for k in kept] + [pa.array(names[best], pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return plan.mapInArrow(run, result)
+    return plan.mapInArrow(run, result).toDF(*keep, "lang_pred", "score")

@@ -48,22 +48,28 @@ def counts_of(text: Column, versions: dict = VERSIONS) -> Column:
 
 
 def bpe_counts(docs: DataFrame, tokenizer_path: str, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
-    """``keep`` columns with n_tokens under a byte-level vocabulary of the tokenizers library, for versions that SQL can't count."""
+    """``keep`` columns with n_tokens under a byte-level vocabulary of the tokenizers library, for versions that SQL can't count.
+
+    A kept column named n_tokens gives way to the count.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     from .token_files import PIECES_CHUNK, encoder
 
-    result = StructType([*docs.select(*keep).schema.fields]).add("n_tokens", "long")
+    keep = tuple(c for c in keep if c != "n_tokens")
+    kept = [f"k{i}" for i in range(len(keep))]
+    plan = docs.select(*[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col(text_col).alias("text"))
+    result = StructType([*plan.select(*kept).schema.fields]).add("n_tokens", "long")
     schema = to_arrow_schema(result)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        for rows, data, offsets in words.chunks(batches, "_text", PIECES_CHUNK):
+        for rows, data, offsets in words.chunks(batches, "text", PIECES_CHUNK):
             _, counts = encode.encode(data, offsets)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(np.asarray(counts) - 1, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in kept), pa.array(np.asarray(counts) - 1, pa.int64())], schema=schema)
 
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, result)
+    return plan.mapInArrow(run, result).toDF(*keep, "n_tokens")
 
 
 def changes(rows: DataFrame, counts: Column | None, seq: int = 0) -> DataFrame:

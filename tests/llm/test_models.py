@@ -70,14 +70,26 @@ def test_bpe_counts(odd):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     got = sorted(((r["row"], r["n_tokens"]) for r in bpe_counts(odd, path, ("row",)).collect()), key=repr)
     assert got == sorted(((r["row"], len(t.encode(r["text"] or "", add_special_tokens=False).ids)) for r in odd.collect()), key=repr)
 
 
+def test_bpe_counts_keep_columns_of_any_name(odd):
+    docs = odd.withColumns({c: odd["row"] for c in ("n_tokens", "_text", "k0")})
+    found = bpe_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), tuple(docs.columns))
+    assert set(found.columns) == set(docs.columns) and dict(found.dtypes)["n_tokens"] == "bigint" and found.count() == docs.count()
+
+
 # ---------------------------------------------------------------- language ID
 
 
+def test_predictions_keep_columns_of_any_name(odd, nothing):
+    docs = odd.withColumns({c: odd["row"] for c in ("score", "lang_pred", "_text", "k0")})
+    found = langid.predict(docs, langid.fit(docs), keep=tuple(docs.columns))
+    assert set(found.columns) == set(docs.columns) and dict(found.dtypes)["score"] == "double" and found.count() == docs.count()
+    assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(nothing)).collect()} == {"und"}
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs, per_language=400)
