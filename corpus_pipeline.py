@@ -1,7 +1,16 @@
 """A training corpus from ``documents``, in five stages of the llm subpackage.
 
 Each stage takes what the one before kept, is written as Parquet to the shared folder and
-read again. All but the last return the columns of ``documents``.
+read again. All but the last return the columns of ``documents``; the last returns the records
+read back from the shards.
+
+Stages decide by row, not by doc_id: a row's key is its file and its place there. Defined
+results: a text that is null or has no letter is rejected by the language stage; empty texts
+that reach a later stage are documents like any other (one near-duplicate class, no match,
+size 0 in the mix, which takes none); of rows with equal texts one stays, whatever their ids,
+and rows with equal ids but different texts all stay; very long texts are read whole; ties
+go to the smaller id, then the earlier row; an empty table gives an empty result; further
+columns, of any name, are carried along.
 """
 
 from __future__ import annotations
@@ -10,16 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, langid, mixing, near_dedup, sharding
-from lodestone.llm.common import read, staged
+from lodestone.llm.common import ROW_KEY, discard, keyed, plainly, read, staged
 
 #: A text is rejected by language only if it has no letters or its best language is less likely than this.
 LEAST_SCORE = 0.4
 
 
-def plainly(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with columns named by place, so that none clashes with an operator's, and the names."""
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
-    return docs.toDF(*names.values()), names
+def places(docs: DataFrame) -> tuple[dict[str, str], list[str]]:
+    """The plain names of the columns of ``docs``, by name and in order."""
+    names = plainly(docs)[1]
+    return names, list(names.values())
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +40,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, the one with the smallest id."""
-    gone = staged(near_dedup.near_classes(docs).where("not kept and doc_id <> class_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate class stays, the one with the smallest id; of rows that share it, one."""
+    rows, (at, columns) = keyed(docs), places(docs)
+    classes = near_dedup.near_classes(rows, at["doc_id"], at["text"], keep=ROW_KEY)
+    gone = staged(classes.where("not kept").select(*ROW_KEY), "gone")
+    return rows.join(gone, list(ROW_KEY), "left_anti").select(*columns).toDF(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,19 +55,23 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    plain, at = plainly(docs)
-    taken = staged(mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "taken")
-    # Taken documents grow with the input, so this is a sort merge join at every size.
-    taken = taken.hint("merge")
-    picked = plain.join(taken, plain[at["doc_id"]].eqNullSafe(taken["doc_id"]))
+    """Each row as often as the mix takes it."""
+    rows, (at, columns) = keyed(docs), places(docs)
+    taken = staged(mixing.mix(rows, id_col=at["doc_id"], text_col=at["text"], source_col=at["source"], keep=ROW_KEY).where("copies > 0").select(*ROW_KEY, "copies"), "taken")
+    # Taken rows grow with the input, so this is a sort merge join at every size.
+    picked = rows.join(taken.hint("merge"), list(ROW_KEY))
     copies = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return picked.select(*plain.columns, copies.alias("copy")).drop("copy").toDF(*docs.columns)
+    return picked.select(*columns, copies.alias("copy")).drop("copy").toDF(*docs.columns)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each record in the shards."""
-    return sharding.shard_plan(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot")
+    """The records, read back from the shards they were written to, with size, text_crc32, law, shard and slot.
+
+    A column of ``docs`` that is named like one of these stays in the files only.
+    """
+    found = sharding.sharded(docs)
+    place = ["size", "text_crc32", "law", "shard", "slot"]
+    return found.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in place], *place)
 
 
 STAGES = [
@@ -69,9 +84,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = first = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        if before is not first:
+            discard(spark, before)
     return docs
 
 
