@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The names that configs and command lines may use for a strategy.
 STRATEGIES = {"brute": "brute", "bruteforce": "brute", "inverted": "inverted", "inverted-index": "inverted", "index": "inverted", "hnsw": "hnsw"}
 
 
+def split_terms(text: Column) -> Column:
+    """Lower-cased runs of letters and digits, and an empty string where a text begins or ends with none."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; a null text has none."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(parts, lambda t: t != "")
+    return F.filter(split_terms(text), lambda t: t != "")
 
 
 def params_control(params: Column) -> Column:
@@ -24,9 +29,9 @@ def is_integer_string(s: Column) -> Column:
     return F.coalesce(s.rlike("^[+-]?[0-9]+$"), F.lit(False))
 
 
-def path_parts(path: Column) -> Column:
-    """Parts of a path given as ``a/b/c``."""
-    return F.split(path, "/")
+def path_parts(path: str | list[str]) -> list[str]:
+    """Parts of an item's path, given as ``a/b/c`` or as a list."""
+    return [p for p in path.split("/") if p] if isinstance(path, str) else list(path)
 
 
 def run_identifier(nlist: Column, payload: str, nprobe: Column) -> Column:

@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from ..functions.text import is_integer_string, params_control, run_identifier, tokens
 from ..functions.vectors import densify, dot, sparse_dot
 from ..operators import dense, evaluate, hnsw, ivf, profile, report, sparse, topk
-from ..sources import tasks, vectors
-from ..sources.staging import staged
+from ..operators.ranges import running_total
+from ..sources import results, tasks, vectors
+from ..sources.staging import new_folder, staged
 from . import fixtures as fx
+from . import search
+from .index import built_index, stored_index
 
 K_SPARSE, K_KNN, K_MIPS = 30, 15, 30
+DENSE_COLUMNS = 4096
+HNSW_SHARD = 500
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -40,14 +45,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark, d, only=None):
-    return vectors.text_triples(table(spark, d, "documents"), "doc_id", "text", "doc_id", only)
+def corpus(spark, d):
+    return vectors.text_triples(table(spark, d, "documents"), "doc_id", "text", "doc_id")
 
 
-def asked_corpus(spark, d):
-    """The corpus triples that a search can touch, and the queries."""
-    queries = sparse_queries(spark, d)
-    return corpus(spark, d, queries), queries
+def index(spark, d):
+    return stored_index(spark, f"{d}/documents.parquet")
+
+
+def touched(spark, d):
+    """The scores of all pairs that share a term, from the stored index."""
+    return sparse.index_scores(index(spark, d), sparse_queries(spark, d))
 
 
 def sparse_queries(spark, d):
@@ -70,8 +78,8 @@ def dense_queries(spark, d):
     return dense_corpus(spark, d).where(F.col("id") % 20 == 0)
 
 
-def runs(spark):
-    return spark.createDataFrame(fx.RUNS, tasks.RUN)
+def runs(spark, d):
+    return spark.sql(f"{fx.RUNS} FROM {{orders}}", orders=table(spark, d, "orders"))
 
 
 def configs(spark):
@@ -93,7 +101,8 @@ def _dense_sql(where: str, k: int) -> str:
         FROM embeddings q, embeddings v WHERE {where} QUALIFY rank <= {k}"""
 
 
-_RUNS = fx.values(fx.RUNS, ", ".join(tasks.RUN_COLUMNS))
+_RUNS = f"({fx.RUNS} FROM orders) AS t"
+_CONFIGS = fx.values(fx.CONFIGS, "path, json")
 _COUNTS = fx.values(fx.QUERY_COUNTS, "dataset, task, n_queries")
 
 
@@ -106,33 +115,34 @@ def rounded(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_TOP} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM top")
 def sparse_topk_inverted(spark, d):
-    return rounded(sparse.inverted_topk(*asked_corpus(spark, d), K_SPARSE))
+    return rounded(topk.topk(touched(spark, d), K_SPARSE))
 
 
 @query(f"WITH {_ALL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM every QUALIFY rank <= {K_SPARSE}")
 def sparse_topk_brute(spark, d):
-    return rounded(sparse.brute_topk(*asked_corpus(spark, d), doc_ids(spark, d), query_ids(spark, d), K_SPARSE))
+    return rounded(sparse.brute_topk(staged(touched(spark, d), "touched"), doc_ids(spark, d), query_ids(spark, d), K_SPARSE))
 
 
 @query(f"WITH {_ALL} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM every WHERE query_id = 0 QUALIFY rank <= {K_SPARSE}")
 def sparse_topk_single_query(spark, d):
     one = F.col("query_id") == 0
-    return rounded(sparse.brute_topk(corpus(spark, d), sparse_queries(spark, d).where(one), doc_ids(spark, d), query_ids(spark, d).where(one), K_SPARSE))
+    found = staged(sparse.index_scores(index(spark, d), sparse_queries(spark, d).where(one)), "touched")
+    return rounded(sparse.brute_topk(found, doc_ids(spark, d), query_ids(spark, d).where(one), K_SPARSE))
 
 
 @query(f"WITH {_SCORES} SELECT query_id, doc_id, round(score, 6) AS score, postings FROM scores")
 def sparse_scores(spark, d):
-    return rounded(sparse.scores(*asked_corpus(spark, d)))
+    return rounded(touched(spark, d)).drop("segment")
 
 
 @query(f"WITH {_SCORES} SELECT query_id, doc_id, postings AS shared FROM scores")
 def shared_terms(spark, d):
-    return sparse.shared_terms(*asked_corpus(spark, d))
+    return sparse.shared_terms(touched(spark, d))
 
 
 @query(f"WITH {_SCORES} SELECT item_id AS query_id, coalesce(sum(postings), 0)::BIGINT AS postings, count(score) AS touched FROM benchmark LEFT JOIN scores ON item_id = query_id GROUP BY ALL")
 def search_stats_per_query(spark, d):
-    return sparse.search_stats_per_query(*asked_corpus(spark, d), query_ids(spark, d))
+    return sparse.search_stats_per_query(touched(spark, d), query_ids(spark, d))
 
 
 @query(f"""WITH {_SCORES}, s AS (SELECT item_id, coalesce(sum(postings), 0)::BIGINT AS p, count(score) AS t FROM benchmark LEFT JOIN scores ON item_id = query_id GROUP BY ALL)
@@ -169,7 +179,7 @@ def sparse_dot_pairs(spark, d):
     """The dot product of two rows as maps, for the pairs that share a term."""
     as_map = lambda df, key, name: df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias(name))
     c, q = corpus(spark, d), sparse_queries(spark, d)
-    pairs = sparse.shared_terms(c, q).select("query_id", "doc_id")
+    pairs = touched(spark, d).select("query_id", "doc_id")
     both = pairs.join(as_map(q, "query_id", "a"), "query_id").join(as_map(c, "doc_id", "b"), "doc_id")
     return both.select("query_id", "doc_id", sparse_dot(F.col("a"), F.col("b")).alias("dot"))
 
@@ -204,10 +214,11 @@ def filter_query_terms(spark, d):
     return sparse_queries(spark, d).join(sparse.term_df(corpus(spark, d)).select("term"), "term", "left_semi").select("query_id", "term", "weight")
 
 
-@query("SELECT vec_id AS row_id, (label % 7)::INT AS term, 1.0::DOUBLE AS weight FROM embeddings")
+@query("SELECT vec_id AS row_id, label::INT AS term, 1.0::DOUBLE AS weight FROM embeddings")
 def validate_terms(spark, d):
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") % 7).cast("int").alias("term"), F.lit(1.0).alias("weight"))
-    return vectors.validate_terms(labels, 7)
+    """Labels as terms, below the number that the table itself gives; a gap below it is an error too late for SQL."""
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").cast("int").alias("term"), F.lit(1.0).alias("weight"))
+    return vectors.validate_terms(labels, labels.agg(F.count_distinct("term")).first()[0])
 
 
 @query(f"WITH {_CORPUS} SELECT term, count(*) AS df FROM corpus GROUP BY ALL")
@@ -217,8 +228,19 @@ def term_df(spark, d):
 
 @query(f"WITH {_CORPUS} SELECT term, doc_id // 1048576 AS block, count(*) AS n, list(doc_id ORDER BY doc_id) AS docs, list(weight ORDER BY doc_id) AS weights FROM corpus GROUP BY ALL")
 def inverted_index(spark, d):
-    i = sparse.inverted_index(corpus(spark, d))
-    return i.select("term", "block", "n", F.col("postings.doc_id").alias("docs"), F.col("postings.weight").alias("weights"))
+    """The postings that the stored index holds, by blocks of consecutive ids."""
+    each = index(spark, d).select("term", F.inline("postings")).withColumn("block", F.floor(F.col("doc_id") / (1 << 20)).cast("long"))
+    blocks = each.groupBy("term", "block").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "weight"))).alias("p"))
+    return blocks.select("term", "block", "n", F.col("p.doc_id").alias("docs"), F.col("p.weight").alias("weights"))
+
+
+@query(f"WITH {_CORPUS} SELECT count(DISTINCT term) AS terms, count(*) AS postings, sum(weight)::BIGINT AS occurrences FROM corpus")
+def index_build(spark, d):
+    """Builds the index anew and sums up what it holds."""
+    to = new_folder(spark, "index-build")
+    built_index(spark, f"{d}/documents.parquet", "doc_id", "text", to)
+    total = F.aggregate("postings", F.lit(0.0), lambda s, p: s + p["weight"])
+    return spark.read.parquet(to).agg(F.count_distinct("term").alias("terms"), F.sum("n").alias("postings"), F.sum(total).cast("long").alias("occurrences"))
 
 
 @query(f"WITH {_CORPUS}, {_ASKED}, t AS (SELECT DISTINCT term FROM asked UNION SELECT DISTINCT term FROM corpus), n AS (SELECT term, count(*) AS df FROM corpus GROUP BY ALL) SELECT term, sum(coalesce(df, 0)) OVER (ORDER BY term)::BIGINT AS offset_end FROM t LEFT JOIN n USING (term)")
@@ -261,14 +283,39 @@ def moving_average(spark, d):
     return profile.moving_average(cells, "i", "x", 10, "vec_id")
 
 
-@query(f"WITH {_ASKED}, v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS i FROM (SELECT term FROM asked GROUP BY term HAVING count(*) >= 5)) SELECT query_id, list(coalesce(weight, 0) ORDER BY i) AS vector FROM (SELECT DISTINCT query_id FROM asked) CROSS JOIN v LEFT JOIN asked USING (query_id, term) GROUP BY ALL")
+def columns_of(triples):
+    """(term, i): the terms in order, numbered from 0."""
+    terms = staged(triples.select("term").distinct().withColumn("one", F.lit(1)), "vocabulary")
+    return running_total(terms, ["term"], "one", "upto").select("term", (F.col("upto") - 1).cast("int").alias("i"))
+
+
+_COLUMNS = "columns AS (SELECT term, (row_number() OVER (ORDER BY term) - 1)::INT AS i FROM (SELECT DISTINCT term FROM {rows}))"
+
+
+@query(f"""WITH {_ASKED}, {_COLUMNS.format(rows='asked')} SELECT query_id, (i // {DENSE_COLUMNS})::INT AS block, list(coalesce(weight, 0) ORDER BY i) AS vector
+    FROM (SELECT DISTINCT query_id FROM asked) CROSS JOIN columns LEFT JOIN asked USING (query_id, term) GROUP BY ALL""")
 def densify_row(spark, d):
-    """Query rows as dense vectors over the terms that five passages or more share."""
+    """Query rows as dense vectors over the whole vocabulary, in blocks of its columns."""
     asked = sparse_queries(spark, d)
-    vocabulary = sorted(r["term"] for r in sparse.term_df(asked).where("df >= 5").collect())
-    at = spark.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
-    entries = asked.join(F.broadcast(at), "term", "left").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "weight")))).alias("m"))
-    return entries.select("query_id", densify(F.col("m"), len(vocabulary)).alias("vector"))
+    columns = staged(columns_of(asked), "columns")
+    cols = columns.count()
+    at = asked.join(columns, "term").withColumn("block", F.floor(F.col("i") / DENSE_COLUMNS).cast("int"))
+    maps = at.groupBy("query_id", "block").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") - F.col("block") * DENSE_COLUMNS, "weight"))).alias("m"))
+    blocks = asked.select("query_id").distinct().select("query_id", F.explode(F.sequence(F.lit(0), F.lit((cols - 1) // DENSE_COLUMNS))).alias("block"))
+    full = blocks.join(maps, ["query_id", "block"], "left").withColumn("m", F.coalesce("m", F.create_map().cast("map<int,double>")))
+    width = F.least(F.lit(DENSE_COLUMNS), F.lit(cols) - F.col("block") * DENSE_COLUMNS)
+    return full.select("query_id", "block", densify(F.col("m"), width).alias("vector"))
+
+
+@query(f"WITH {_CORPUS}, {_COLUMNS.format(rows='corpus')} SELECT doc_id AS row_id, i AS term, weight FROM corpus JOIN columns USING (term)")
+def scan_csr(spark, d):
+    """The corpus stored as compressed rows with numbered terms, read back through its checks."""
+    triples = staged(corpus(spark, d), "triples")
+    columns = staged(columns_of(triples), "columns")
+    path = new_folder(spark, "csr")
+    shape = vectors.Shape((table(spark, d, "documents").agg(F.max("doc_id")).first()[0] or 0) + 1, columns.count())
+    vectors.write_csr(triples.join(columns, "term").select("doc_id", F.col("i").alias("term"), "weight"), shape, path, "doc_id")
+    return vectors.read_csr(spark, path)
 
 
 @query("SELECT doc_id, source FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE toxic = 1) USING (doc_id)")
@@ -317,16 +364,43 @@ def dense_dot(spark, d):
     return dense_corpus(spark, d).select(F.col("id").alias("vec_id"), F.round(dot(F.col("embedding"), F.col("embedding")), 6).alias("dot"))
 
 
+def dense_recall(found, truth, asked):
+    """One row: the number of queries, and whether recall is 0.9 or more."""
+    ids = asked.select(F.col("id").alias("query_id"))
+    recall = evaluate.recall_at_k(found, truth, K_MIPS, ids)
+    return recall.select(F.lit(ids.count()).alias("queries"), (F.col("recall") >= 0.9).alias("recall_ok"))
+
+
 @query()
 def ivf_topk(spark, d):
-    index = ivf.build(dense_corpus(spark, d))
-    return rounded(ivf.search(index, dense_queries(spark, d), K_MIPS, max(1, len(index.centroids) // 2)))
+    """Probes as many lists as measured recall asks for."""
+    vectors_, asked = dense_corpus(spark, d), dense_queries(spark, d)
+    found = ivf.build(vectors_)
+    return rounded(ivf.search(found, asked, K_MIPS, ivf.tuned_nprobe(found, vectors_, asked, K_MIPS)))
+
+
+@query("SELECT count(*) AS queries, TRUE AS recall_ok FROM embeddings WHERE vec_id % 20 = 0")
+def ivf_recall(spark, d):
+    return dense_recall(staged(ivf_topk(spark, d), "ivf"), mips_exact(spark, d), dense_queries(spark, d))
+
+
+@query("SELECT unnest([1, 2, 5, 10, 100]) AS nprobe, TRUE AS rises, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) AS queries")
+def ivf_sweep(spark, d):
+    """Searches over one index with more and more probes; recall never falls (but for 16-bit rounding)."""
+    asked, truth = dense_queries(spark, d), staged(mips_exact(spark, d), "truth")
+    ids, out, before = asked.select(F.col("id").alias("query_id")), [], 0.0
+    n = ids.count()
+    for nprobe, found in ivf.sweep(ivf.build(dense_corpus(spark, d)), asked, K_MIPS, search.NPROBES["task1"]).items():
+        recall = evaluate.recall_at_k(found, truth, K_MIPS, ids).first()[0]
+        out.append((nprobe, recall >= before - 0.005, n))
+        before = recall
+    return spark.createDataFrame(out, "nprobe int, rises boolean, queries long")
 
 
 @query()
 def ivf_probe_lists(spark, d):
-    index = ivf.build(dense_corpus(spark, d))
-    return ivf.probes(dense_queries(spark, d), index.centroids, 5).select(F.col("id").alias("query_id"), "probe", "list_id")
+    found = ivf.build(dense_corpus(spark, d))
+    return ivf.probes(dense_queries(spark, d), found.centroids, 5).select(F.col("id").alias("query_id"), "probe", "list_id")
 
 
 @query()
@@ -334,9 +408,31 @@ def ivf_list_sizes(spark, d):
     return ivf.list_sizes(ivf.build(dense_corpus(spark, d)))
 
 
+def dense_graphs(spark, d):
+    return hnsw.build(dense_corpus(spark, d), shard_rows=HNSW_SHARD)
+
+
 @query()
 def hnsw_topk(spark, d):
-    return rounded(hnsw.hnsw_topk(dense_corpus(spark, d), dense_queries(spark, d), K_MIPS))
+    return rounded(hnsw.search(dense_graphs(spark, d), dense_queries(spark, d), K_MIPS))
+
+
+@query("SELECT count(*) AS queries, TRUE AS recall_ok FROM embeddings WHERE vec_id % 20 = 0")
+def hnsw_recall(spark, d):
+    return dense_recall(staged(hnsw_topk(spark, d), "hnsw"), mips_exact(spark, d), dense_queries(spark, d))
+
+
+@query()
+def hnsw_sparse_topk(spark, d):
+    """The strategy ``hnsw`` over sparse rows."""
+    graphs = hnsw.build_sparse(corpus(spark, d), degree=16, beam=60, shard_rows=HNSW_SHARD)
+    return rounded(hnsw.search_sparse(graphs, sparse_queries(spark, d), K_SPARSE))
+
+
+@query("SELECT count(*) AS queries, TRUE AS recall_ok FROM benchmark")
+def hnsw_sparse_recall(spark, d):
+    found = evaluate.recall_at_k(staged(hnsw_sparse_topk(spark, d), "hnsw"), sparse_topk_inverted(spark, d), K_SPARSE, query_ids(spark, d))
+    return found.select(F.lit(query_ids(spark, d).count()).alias("queries"), (F.col("recall") >= 0.9).alias("recall_ok"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -347,100 +443,152 @@ _SHARE = f"""{_TOP}, brute AS (SELECT item_id AS query_id, documents.doc_id, row
     hits AS (SELECT item_id AS query_id, count(b.doc_id) AS hits FROM benchmark LEFT JOIN (SELECT t.query_id, t.doc_id FROM (SELECT * FROM top WHERE rank <= 10) t JOIN brute USING (query_id, doc_id)) b ON item_id = b.query_id GROUP BY ALL)"""
 
 
+def both_searches(spark, d):
+    """Results of the inverted and the brute search, from one scoring."""
+    found = staged(touched(spark, d), "touched")
+    return topk.topk(found, K_SPARSE), sparse.brute_topk(found, doc_ids(spark, d), query_ids(spark, d), K_SPARSE)
+
+
 @query(f"WITH {_SHARE} SELECT query_id, hits FROM hits")
 def hits_per_query(spark, d):
-    return evaluate.hits_per_query(sparse_topk_inverted(spark, d), sparse_topk_brute(spark, d), 10, query_ids(spark, d))
+    return evaluate.hits_per_query(*both_searches(spark, d), 10, query_ids(spark, d))
 
 
 @query(f"WITH {_SHARE} SELECT sum(hits) / (count(*) * 10) AS recall FROM hits")
 def recall_at_k(spark, d):
-    return evaluate.recall_at_k(sparse_topk_inverted(spark, d), sparse_topk_brute(spark, d), 10, query_ids(spark, d))
+    return evaluate.recall_at_k(*both_searches(spark, d), 10, query_ids(spark, d))
 
 
 # ---------------------------------------------------------------- configs, runs and reports
 
 
-@query("SELECT * FROM " + fx.values([("data/answers-small/config.json", "task3", 30, True, "otest,knns"), ("data/answers-large/config.json", "task3", 10, True, "otest,knns"), ("data/articles/config.json", "task1", 15, False, "allknn,knns"), ("data/images/config.json", "task2", 30, False, "test,knns")], "path, task, k, sparse, gt_I"))
+_PARSED = f"""parsed AS (SELECT path, json->>'$.task' AS task, coalesce((json->>'$.k')::INT, 10) AS k, coalesce((json->>'$.sparse')::BOOLEAN, FALSE) AS sparse, json->>'$.filename' AS filename,
+    coalesce(json->>'$.dataset_name', split_part(path, '/', -2)) AS dataset,
+    CASE json_type(json, '$.gt_I') WHEN 'ARRAY' THEN array_to_string((json->'$.gt_I')::VARCHAR[], ',') ELSE replace(json->>'$.gt_I', '/', ',') END AS gt_I
+    FROM (SELECT path, json::JSON AS json FROM {_CONFIGS}))"""
+
+
+@query(f"WITH {_PARSED} SELECT path, task, k, sparse, gt_I FROM parsed")
 def task_configs(spark, d):
     return configs(spark).select("path", "task", "k", "sparse", F.concat_ws(",", "gt_I").alias("gt_I"))
 
 
-@query("SELECT * FROM " + fx.values([("answers", "task3", "a.h5"), ("articles", "task1", "c.h5"), ("images", "task2", "d.h5")], "dataset, task, filename"))
+@query(f"WITH {_PARSED} SELECT dataset, task, filename FROM parsed QUALIFY row_number() OVER (PARTITION BY dataset, task ORDER BY path DESC) = 1")
 def dataset_registry(spark, d):
     return tasks.registry(configs(spark)).select("dataset", "task", "filename")
 
 
-@query(f"SELECT dataset, task, algo FROM {_RUNS} WHERE task <> 'task1'")
+@query(f"SELECT dataset, task, algo FROM {_RUNS} SEMI JOIN {_COUNTS.replace('AS t(', 'AS c(')} USING (dataset, task)")
 def runs_known(spark, d):
     known = spark.createDataFrame(fx.QUERY_COUNTS, "dataset string, task string, n int")
-    return evaluate.runs_known(runs(spark), known).select("dataset", "task", "algo")
+    return evaluate.runs_known(runs(spark, d), known).select("dataset", "task", "algo")
 
 
-@query(f"WITH {_TOP}, w AS (SELECT query_id, list(doc_id + 1 ORDER BY rank) AS knns FROM top GROUP BY ALL HAVING max(score) >= 100) SELECT query_id, knns, 'documents' AS dataset, 'task3' AS task FROM w")
-def valid_runs(spark, d):
-    stored = results_wide(spark, d).select("query_id", "knns", F.when(F.array_max("dists") >= 100, "documents").alias("dataset"), F.lit("task3").alias("task"))
-    return tasks.valid_runs(stored)
+_PADDED = ORACLE_SQL["results_padded"].removeprefix(f"WITH {_TOP} ")
 
 
-@query(f"SELECT * FROM {_RUNS} WHERE task = 'task3' AND dataset = 'answers'")
+@query(f"WITH {_TOP} SELECT *, 'inverted' AS algo, 'documents' AS dataset, 'task3' AS task, 'k={K_SPARSE}' AS params FROM ({_PADDED})")
+def stored_results(spark, d):
+    """Results written with the attributes of their run, and read back. Times differ from run to run, so they are left out."""
+    run = results.Run("inverted", "documents", "task3", 0.0, 1.5, f"k={K_SPARSE}")
+    return search.stored_run(sparse_topk_inverted(spark, d), query_ids(spark, d), K_SPARSE, run, new_folder(spark, "results")).drop("buildtime", "querytime")
+
+
+@query(f"WITH {_TOP} SELECT query_id, knns, 'documents' AS dataset, 'task3' AS task FROM ({_PADDED})")
+def valid_runs(spark, d):
+    """Of two stored runs in one folder, one without a data set, the whole one is read; a path given twice counts once."""
+    folder, found = new_folder(spark, "results"), staged(sparse_topk_inverted(spark, d), "found")
+    for name, dataset in (("a/whole", "documents"), ("b/nameless", None)):
+        results.store(found, query_ids(spark, d), K_SPARSE, results.Run("inverted", dataset, "task3", 0.0, 0.0, ""), f"{folder}/{name}")
+    return results.stored(spark, folder, f"{folder}/a", folder).select("query_id", "knns", "dataset", "task")
+
+
+@query(f"WITH {_TOP} SELECT *, 'index' AS algo FROM ({_PADDED})")
+def configured_task(spark, d):
+    """A task's folder (config, compressed rows of corpus and queries) loaded, searched by named options, stored and read back."""
+    folder, out = new_folder(spark, "task"), new_folder(spark, "task-results")
+    triples = staged(corpus(spark, d), "triples")
+    asked = staged(sparse_queries(spark, d), "asked")
+    columns = staged(columns_of(triples.select("term").union(asked.select("term"))), "columns")
+    cols = columns.count()
+    for rows, name, item in ((triples, "doc_id", "train"), (asked, "query_id", "otest/queries")):
+        numbered = rows.join(columns, "term").select(name, F.col("i").alias("term"), "weight")
+        source = doc_ids(spark, d) if name == "doc_id" else query_ids(spark, d)
+        vectors.write_csr(numbered, vectors.Shape((source.agg(F.max(name)).first()[0] or 0) + 1, cols), f"{folder}/rows/{item}", name)
+    config = '{"task": "task3", "data": "train", "queries": "otest/queries", "k": 30, "dataset_name": "documents", "sparse": true, "filename": "rows"}'
+    spark.createDataFrame([(config,)], "value string").coalesce(1).write.text(f"{folder}/config.json")
+    options = tasks.Options.parsed(f"--inputFolder {folder} --outputFolder {out} --dataset documents --task task3 --strategy index --kTop {K_SPARSE}".split())
+    found = results.stored(spark, search.run_task(spark, options))
+    return found.select("query_id", "knns", F.transform("dists", lambda x: F.round(x, 6)).alias("dists"), "algo")
+
+
+@query(f"WITH {_CORPUS} SELECT unnest([10, 20, 50]) AS n, (SELECT count(*) FROM benchmark) AS queries")
+def scaling_experiment(spark, d):
+    """Searches timed at three problem sizes, through their CSV; times are left out."""
+    path = new_folder(spark, "scaling")
+    return search.scaling(corpus(spark, d), sparse_queries(spark, d), doc_ids(spark, d), [10, 20, 50], K_SPARSE, path).select("n", "queries")
+
+
+@query(f"SELECT * FROM {_RUNS} WHERE task = 'task3' AND dataset = 'set-1'")
 def runs_for_task(spark, d):
-    return report.runs_for(runs(spark), "task3", "answers")
+    return report.runs_for(runs(spark, d), "task3", "set-1")
 
 
 @query(f"SELECT DISTINCT dataset FROM {_RUNS} WHERE task = 'task3'")
 def distinct_datasets(spark, d):
-    return report.distinct_datasets(runs(spark), "task3")
+    return report.distinct_datasets(runs(spark, d), "task3")
 
 
 @query(f"SELECT * FROM {_RUNS} WHERE recall >= {fx.THRESHOLD} - 1e-6")
 def runs_passing(spark, d):
-    return report.passing(runs(spark), fx.THRESHOLD)
+    return report.passing(runs(spark, d), fx.THRESHOLD)
 
 
 @query(f"SELECT * FROM {_RUNS} WHERE recall < {fx.THRESHOLD} - 1e-6")
 def runs_failing(spark, d):
-    return report.failing(runs(spark), fx.THRESHOLD)
+    return report.failing(runs(spark, d), fx.THRESHOLD)
 
 
 @query(f"SELECT algo, dataset, min(querytime) AS querytime FROM {_RUNS} WHERE recall > {fx.THRESHOLD} GROUP BY ALL")
 def fastest_above_threshold(spark, d):
-    return report.fastest_above(runs(spark), fx.THRESHOLD)
+    return report.fastest_above(runs(spark, d), fx.THRESHOLD)
 
 
 @query(f"SELECT algo, dataset, max(recall) AS recall, max(querytime) AS querytime FROM {_RUNS} GROUP BY ALL HAVING max(recall) <= {fx.THRESHOLD}")
 def best_below_threshold(spark, d):
-    return report.best_below(runs(spark), fx.THRESHOLD)
+    return report.best_below(runs(spark, d), fx.THRESHOLD)
 
 
 @query(f"SELECT params, CASE WHEN params LIKE '%query=%' THEN split_part(params, 'query=', 2) ELSE params END AS ctrl FROM {_RUNS}", "params_control")
 def params_controls(spark, d):
-    return runs(spark).select("params", params_control(F.col("params")).alias("ctrl"))
+    return runs(spark, d).select("params", params_control(F.col("params")).alias("ctrl"))
 
 
-@query(f"""WITH p AS (SELECT dataset, task, algo, n_queries / querytime AS qps, recall, CASE WHEN params LIKE '%query=%' THEN split_part(params, 'query=', 2) ELSE params END AS ctrl FROM {_RUNS} JOIN {_COUNTS.replace('AS t(', 'AS c(')} USING (dataset, task)),
+@query(f"""WITH p AS (SELECT dataset, task, algo, n_queries / querytime AS qps, recall, CASE WHEN params LIKE '%query=%' THEN split_part(params, 'query=', 2) ELSE params END AS ctrl FROM {_RUNS} JOIN {_COUNTS.replace('AS t(', 'AS c(')} USING (dataset, task) WHERE querytime > 0),
     b AS (SELECT *, coalesce(max(recall) OVER (PARTITION BY dataset, task, algo ORDER BY qps DESC, recall DESC, ctrl DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS best FROM p)
     SELECT dataset, task, algo, round(qps, 6) AS qps, recall, ctrl FROM b WHERE recall > best""")
 def pareto_frontier(spark, d):
     counts = spark.createDataFrame(fx.QUERY_COUNTS, "dataset string, task string, n_queries int")
-    return report.pareto_frontier(report.qps(runs(spark), counts)).withColumn("qps", F.round("qps", 6))
+    return report.pareto_frontier(report.qps(runs(spark, d), counts)).withColumn("qps", F.round("qps", 6))
 
 
-@query(f"SELECT {', '.join(tasks.RUN_COLUMNS)} FROM {_RUNS} WHERE recall IS NOT NULL")
+@query(f"SELECT {', '.join(tasks.RUN_COLUMNS)} FROM {_RUNS}")
 def recall_csv(spark, d):
-    return runs(spark).select(*tasks.RUN_COLUMNS)
+    """Run records written as CSV, and read back."""
+    path = new_folder(spark, "recall-csv")
+    tasks.write_recall_csv(runs(spark, d), path)
+    return tasks.read_runs(spark, path)
 
 
-@query(f"SELECT round(regr_slope(seconds, n), 9) AS slope, round(regr_intercept(seconds, n), 6) AS intercept, round(regr_intercept(seconds, n) + regr_slope(seconds, n) * 2500000, 6) AS predicted FROM {fx.values(fx.TIMES, 'n, seconds')}")
+@query("SELECT round(regr_slope(o_totalprice, o_orderkey), 9) AS slope, round(regr_intercept(o_totalprice, o_orderkey), 3) AS intercept, round(regr_intercept(o_totalprice, o_orderkey) + regr_slope(o_totalprice, o_orderkey) * 2500000, 3) AS predicted FROM orders")
 def scaling_regression(spark, d):
-    times = spark.createDataFrame(fx.TIMES, "n long, seconds double")
-    fit = report.scaling_regression(times, 2_500_000.0)
-    return fit.select(F.round("slope", 9).alias("slope"), F.round("intercept", 6).alias("intercept"), F.round("predicted", 6).alias("predicted"))
+    fit = report.scaling_regression(table(spark, d, "orders"), 2_500_000.0, "o_orderkey", "o_totalprice")
+    return fit.select(F.round("slope", 9).alias("slope"), F.round("intercept", 3).alias("intercept"), F.round("predicted", 3).alias("predicted"))
 
 
-@query("SELECT nprobe, 'index=(IVF1024,SQfp16),query=(nprobe=' || nprobe || ')' AS run FROM (VALUES (1), (2), (5), (10), (100)) AS t(nprobe)", "run_identifier")
+@query("SELECT vec_id, 'index=(IVF' || (vec_id % 1024) || ',SQfp16),query=(nprobe=' || label || ')' AS run FROM embeddings", "run_identifier")
 def run_identifiers(spark, d):
-    n = spark.createDataFrame([(1,), (2,), (5,), (10,), (100,)], "nprobe int")
-    return n.select("nprobe", run_identifier(F.lit(1024), "SQfp16", F.col("nprobe")).alias("run"))
+    return table(spark, d, "embeddings").select("vec_id", run_identifier(F.col("vec_id") % 1024, "SQfp16", F.col("label")).alias("run"))
 
 
 @query(f"SELECT doc_id, term, regexp_matches(term, '^[+-]?[0-9]+$') AS whole FROM (SELECT DISTINCT doc_id, {_SPLIT} AS term FROM documents) WHERE term <> ''", "is_integer_string")

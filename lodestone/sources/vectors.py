@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import split_terms
+from ..operators.ranges import running_total
+from .staging import staged
 
 
 class Shape(NamedTuple):
@@ -40,19 +42,60 @@ def summed(triples: DataFrame) -> DataFrame:
     return triples.groupBy("row_id", "term").agg(F.sum("weight").alias("weight"))
 
 
-def text_triples(texts: DataFrame, id_col: str, text_col: str, out_id: str, only: DataFrame | None = None, broadcast_terms: int = 1_000_000) -> DataFrame:
+def text_triples(texts: DataFrame, id_col: str, text_col: str, out_id: str) -> DataFrame:
     """(out_id, term, weight): how often each term occurs in each text.
 
-    Terms are dealt by id before they are counted: the count, and later sums by (query, id),
-    then find all rows of an id in one partition and need no shuffle of their own. ``only``
-    keeps the terms of another table, before the shuffle if they are few enough to broadcast.
+    Texts are dealt by id before they are cut: the count, and later sums by (query, id), then
+    find all rows of an id in one partition and need no shuffle of their own.
     """
-    exploded = texts.select(F.col(id_col).alias(out_id), F.explode(tokens(F.col(text_col))).alias("term"))
-    if only is not None:
-        terms = only.select("term").distinct()
-        few = terms.limit(broadcast_terms + 1).count() <= broadcast_terms
-        exploded = exploded.join(F.broadcast(terms) if few else terms, "term", "left_semi").select(out_id, "term")
-    return exploded.repartition(out_id).groupBy(out_id, "term").agg(F.count("*").cast("double").alias("weight"))
+    dealt = texts.select(F.col(id_col).alias(out_id), F.col(text_col).alias("text")).repartition(out_id)
+    terms = dealt.select(out_id, F.explode(split_terms(F.col("text"))).alias("term")).where("term <> ''")
+    return terms.groupBy(out_id, "term").agg(F.count("*").cast("double").alias("weight"))
+
+
+# ---------------------------------------------------------------- compressed rows
+
+
+def write_csr(triples: DataFrame, shape: Shape, path: str, row: str = "row_id") -> None:
+    """Store (row, term, weight) as compressed rows under ``path``: ``indptr``, ``entries`` and ``shape``.
+
+    Rows 0..rows-1 follow each other in ``entries``, their terms in order.
+    """
+    spark = triples.sparkSession
+    sizes = triples.groupBy(F.col(row).cast("long").alias("i")).agg(F.count("*").alias("n"))
+    every = staged(spark.range(shape.rows).withColumnRenamed("id", "i").join(sizes, "i", "left").na.fill(0, ["n"]), "row-sizes")
+    ends = staged(running_total(every, ["i"], "n", "value"), "row-ends")
+    first = spark.createDataFrame([(0, 0)], "i long, value long")
+    ends.select((F.col("i") + 1).alias("i"), "value").unionByName(first).write.parquet(f"{path}/indptr")
+    nth = F.row_number().over(Window.partitionBy("i").orderBy("term")) - 1
+    entries = triples.select(F.col(row).cast("long").alias("i"), F.col("term").cast("int").alias("term"), F.col("weight").cast("double").alias("weight"))
+    placed = entries.withColumn("nth", nth).join(ends, "i").select((F.col("value") - F.col("n") + F.col("nth")).alias("at"), F.col("term").alias("index"), F.col("weight").alias("data"))
+    placed.write.parquet(f"{path}/entries")
+    spark.createDataFrame([(shape.rows, shape.cols)], "rows long, cols long").write.parquet(f"{path}/shape")
+
+
+def read_shape(spark: SparkSession, path: str) -> Shape:
+    """The stored shape; raises where it isn't one row."""
+    rows = spark.read.parquet(f"{path}/shape").limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} needs one shape, not {len(rows)}")
+    return Shape(rows[0]["rows"], rows[0]["cols"])
+
+
+def read_csr(spark: SparkSession, path: str) -> DataFrame:
+    """(row_id, term, weight) from stored compressed rows; raises where they don't fit together."""
+    shape = read_shape(spark, path)
+    indptr, entries = spark.read.parquet(f"{path}/indptr"), spark.read.parquet(f"{path}/entries")
+    known, low, high, last = indptr.agg(F.count_distinct("i"), F.min("i"), F.max("i"), F.max("value")).first()
+    n, first, end = entries.agg(F.count_distinct("at"), F.min("at"), F.max("at")).first()
+    if known != shape.rows + 1 or low != 0 or high != shape.rows:
+        raise ValueError("indptr must have one entry more than rows")
+    if n != last or n and (first, end) != (0, n - 1) or n != entries.count():
+        raise ValueError("entries must be as many as indptr says")
+    begins, ends = indptr.select("i", F.col("value").alias("begin")), indptr.select((F.col("i") - 1).alias("i"), F.col("value").alias("end"))
+    rows = begins.join(ends, "i").withColumn("fine", F.assert_true(F.col("begin") <= F.col("end"), "indptr must not fall"))
+    places = rows.where("fine is null and begin < end").select(F.col("i").alias("row_id"), F.explode(F.sequence("begin", F.col("end") - 1)).alias("at"))
+    return summed(validate_terms(places.join(entries, "at").select("row_id", F.col("index").alias("term"), F.col("data").alias("weight")), shape.cols))
 
 
 def validate_terms(triples: DataFrame, cols: int) -> DataFrame:
