@@ -1,25 +1,36 @@
 """Scoring texts with a hidden Markov language model.
 
-Tokens are lower-cased (A-Z) words and one end for each text. The model's states emit
-symbols: each of the ``FREQUENT`` most frequent words is a symbol of its own, every other
-word falls into one of ``ENDINGS`` classes by its last three bytes. A word of a class has
-the class's smoothed share of the counts, so the model is a distribution over words:
-
-    P(word | state) = P(symbol | state) x P(word | symbol)
-
-Training is Baum-Welch over all training tokens, cut into segments of ``SEGMENT``. Each
-partition runs forward and backward passes over its segments in numpy and returns expected
-counts; Spark sums them by parameter; the driver gets one sum for each parameter, which the
-model bounds, and no more. Scoring runs the scaled forward recursion over whole texts, so
-the likelihood is exact under the model.
-
-Counts of words come from a table with a row for each distinct word, named by its 64-bit hash.
-It is never broadcast: texts are packed into blocks of about four megabytes with a vocabulary each, and blocks'
-vocabularies are joined to the table, so a block gets the counts of its own words only.
-
-Defined results: null and empty texts are one end token; repeated rows count and score each;
-a null id isn't held out; with no training texts every token is unknown; an empty table
-gives an empty result; other columns are ignored.
+Tokens are lower-cased (A-Z) words and one end for each text. Training has two steps.
+
+* Tied rounds. The model's states emit symbols: each of the ``FREQUENT`` most frequent words is a
+  symbol of its own, every other word falls into one of ``ENDINGS`` classes by its last three
+  bytes, where it has the class's smoothed share of the counts. ``ROUNDS`` rounds of Baum-Welch
+  fit these few parameters.
+* Words. One more pass gathers the expected emissions of every training word in every state, as
+  a table with a row for each word that grows with the corpus. The model's emissions are
+
+      P(word | state) = (E(word, state) + K x tied P(word | state)) / (E(state) + K)
+
+  with K the number of distinct words for each state, so classes only smooth them, and a word
+  that training never saw has the class's share.
+
+Training is over all training tokens, cut into segments of ``SEGMENT``; a segment that doesn't
+begin a text starts from the states' stationary distribution and counts no start. Each
+partition runs forward and backward passes over its segments in numpy; Spark sums the expected
+counts by parameter, or by word. The driver gets one sum for each tied parameter, which the
+model bounds, and no word beyond the frequent ones. Scoring runs the scaled forward recursion
+over whole texts, so the likelihood is exact under the model.
+
+The table of words (named by 64-bit hashes) is never broadcast: texts are packed into blocks of
+about ``BLOCK_BYTES`` with a vocabulary each, and blocks' vocabularies are joined to the table, so
+a block gets the rows of its own words only. Frequent words, which all blocks have, go with
+the model instead and are no hot keys. A word's emissions are its count and its share in each
+state in 16 bits; the states' totals are sums of just these, so that words sum to one.
+
+Defined results: null and empty texts are one end token; a very long text is scored whole;
+repeated rows count and score each; of equally frequent words the one with the smaller hash
+comes first; a null id isn't held out; with no training texts every token is unknown; an
+empty table gives an empty result; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -34,12 +45,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import staged
+from .common import discard, staged
 
 STATES = 8
 FREQUENT = 2000
 ENDINGS = 512
 SEGMENT = 128
+SLICE = 4096  # segments at once
+SHARE = (1 << 16) - 1
 ROUNDS = 5
 SMOOTH = 0.1
 SEED = 3
@@ -56,6 +69,13 @@ class Model(NamedTuple):
     ending_v: np.ndarray  # distinct training words of each class
     total: int  # training tokens
     distinct: int
+    state_n: np.ndarray | None = None  # expected emissions of each state; None in the tied rounds
+    frequent_c: np.ndarray | None = None  # training counts of the frequent words
+    frequent_share: np.ndarray | None = None  # (frequent, states): their packed shares, unpacked
+
+    @property
+    def prior(self) -> float:
+        return max(1.0, self.distinct / len(self.start))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -65,7 +85,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 # ---------------------------------------------------------------- blocks
 
 BLOCK = "ids array<long>, held array<boolean>, sizes array<int>, tokens binary, hashes array<long>, counts array<long>, endings array<smallint>"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,19 +143,31 @@ def symbols_of(model: Model, hashes: np.ndarray, endings: np.ndarray) -> np.ndar
 # ---------------------------------------------------------------- training
 
 
-def expected(model: Model, segments: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, steps and emissions over segments (padded with symbol 0), and their log likelihood.
+def stationary(step: np.ndarray) -> np.ndarray:
+    """Long-run shares of the states."""
+    out = np.full(len(step), 1 / len(step))
+    for _ in range(200):
+        out = out @ step
+    return out / out.sum()
+
 
-    Segments are ordered by falling size, so at each place the live ones are a prefix.
+def expected(model: Model, segments: np.ndarray, size: np.ndarray, first: np.ndarray | None = None, names: np.ndarray | None = None, n_names: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, steps and emissions over segments (padded with any symbol), and their log likelihood.
+
+    Segments are ordered by falling size, so at each place the live ones are a prefix. Those that
+    aren't ``first`` in their text count no start. Emissions are counted by symbol, or by ``names``
+    of the tokens.
     """
     n, length = segments.shape
     states = len(model.start)
+    first = np.ones(n, bool) if first is None else first
+    begin = np.where(first[:, None], model.start, stationary(model.step)).astype(np.float32)
     by_symbol, step = np.ascontiguousarray(model.emit.T.astype(np.float32)), model.step.astype(np.float32)
     live = np.searchsorted(-size, -np.arange(1, length + 1), "right")
     alpha, scale = np.zeros((length, n, states), np.float32), np.ones((length, n), np.float32)
     for t in range(length):
         m = live[t]
-        a = (model.start.astype(np.float32) if t == 0 else alpha[t - 1, :m] @ step) * by_symbol[segments[:m, t]]
+        a = (begin if t == 0 else alpha[t - 1, :m] @ step) * by_symbol[segments[:m, t]]
         scale[t, :m] = a.sum(1)
         alpha[t, :m] = a / scale[t, :m, None]
     steps, beta = np.zeros((states, states)), np.ones((n, states), np.float32)
@@ -147,13 +179,14 @@ def expected(model: Model, segments: np.ndarray, size: np.ndarray) -> tuple[np.n
         beta[:m] = back @ step.T
     alpha[0] *= beta
     inside = np.arange(length)[None, :] < size[:, None]
-    flat, weights = segments[inside], alpha.transpose(1, 0, 2)[inside]
-    emits = np.stack([np.bincount(flat, weights[:, k], model.emit.shape[1]) for k in range(states)])
-    return alpha[0].sum(0).astype(float), steps * model.step, emits, float(np.log(scale[inside.T]).sum())
+    names, n_names = (segments, model.emit.shape[1]) if names is None else (names, n_names)
+    flat, weights = names[inside], alpha.transpose(1, 0, 2)[inside]
+    emits = np.stack([np.bincount(flat, weights[:, k], n_names) for k in range(states)])
+    return alpha[0][first].sum(0).astype(float), steps * model.step, emits, float(np.log(scale[inside.T]).sum())
 
 
-def cut_segments(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(segments, sizes) of consecutive texts, longest first."""
+def cut_segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the tokens, sizes, whether first in the text) of segments of consecutive texts, longest first."""
     many = -(-sizes // SEGMENT)
     text = np.repeat(np.arange(len(sizes)), many)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
@@ -161,8 +194,24 @@ def cut_segments(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
     size = np.minimum(sizes[text] - nth * SEGMENT, SEGMENT)
     turn = np.argsort(-size, kind="stable")
     begin, size = begin[turn], size[turn]
-    grid = np.minimum(begin[:, None] + np.arange(SEGMENT)[None, :], max(0, len(symbols) - 1))
-    return symbols[grid], size
+    return np.minimum(begin[:, None] + np.arange(SEGMENT)[None, :], max(0, int(sizes.sum()) - 1)), size, nth[turn] == 0
+
+
+def expected_in(model: Model, row: dict, by_word: bool = False) -> list[np.ndarray] | None:
+    """Expected starts, steps, emissions (by symbol, or by word of the block) and log likelihood of a block's training texts."""
+    held, sizes = row["held"].astype(bool), row["sizes"].astype(np.int64)
+    if held.all():
+        return None
+    local = row["tokens"][~np.repeat(held, sizes)]
+    symbols = symbols_of(model, row["hashes"], row["endings"])[local]
+    places, size, first = cut_segments(sizes[~held])
+    total = None
+    for at in range(0, len(size), SLICE):
+        p = slice(at, at + SLICE)
+        names = (local[places[p]], len(row["hashes"])) if by_word else (None, 0)
+        got = expected(model, symbols[places[p]], size[p], first[p], *names)
+        total = [x + y for x, y in zip(total, got, strict=True)] if total else list(got)
+    return total
 
 
 def counted(model: Model, blocks: DataFrame) -> np.ndarray:
@@ -172,14 +221,10 @@ def counted(model: Model, blocks: DataFrame) -> np.ndarray:
         total = None
         for batch in batches:
             for i in range(len(batch)):
-                row = cells(batch, i)
-                held, sizes = row["held"].astype(bool), row["sizes"].astype(np.int64)
-                if held.all():
-                    continue
-                symbols = symbols_of(model, row["hashes"], row["endings"])[row["tokens"][~np.repeat(held, sizes)]]
-                got = expected(model, *cut_segments(symbols, sizes[~held]))
-                flat = np.concatenate([np.ravel(x) for x in got])
-                total = flat if total is None else total + flat
+                got = expected_in(model, cells(batch, i))
+                if got:
+                    flat = np.concatenate([np.ravel(x) for x in got])
+                    total = flat if total is None else total + flat
         if total is not None:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "value"])
@@ -227,19 +272,74 @@ def fit(blocks: DataFrame, vocabulary: DataFrame, states: int = STATES, rounds:
     return model
 
 
+def packed_shares(shares: np.ndarray) -> list[np.ndarray]:
+    """Shares (words, states) in 16 bits each, four states in one 64-bit number."""
+    q = np.rint(shares * SHARE).astype(np.int64)
+    parts = np.zeros((len(q), -(-q.shape[1] // 4)), np.int64)
+    for k in range(q.shape[1]):
+        parts[:, k // 4] |= q[:, k] << 16 * (k % 4)
+    return list(parts.T)
+
+
+def unpacked_shares(parts: list[np.ndarray], states: int) -> np.ndarray:
+    return np.stack([(parts[k // 4] >> 16 * (k % 4) & SHARE) for k in range(states)], 1) / SHARE
+
+
+def emissions(model: Model, blocks: DataFrame) -> DataFrame:
+    """(word, c, s0, s1...): the count of every training word and its packed shares in the states. Staged."""
+    states = len(model.start)
+    parts = [f"s{i}" for i in range(-(-states // 4))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = cells(batch, i)
+                got = expected_in(model, row, by_word=True)
+                if got:
+                    live = np.flatnonzero(row["counts"])
+                    by_state = got[2].T[live]
+                    columns = [row["hashes"][live].view(np.int64), row["counts"][live], *packed_shares(by_state / by_state.sum(1, keepdims=True))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "c", *parts])
+
+    each = blocks.select("held", "sizes", "tokens", "endings", "hashes", "counts").mapInArrow(run, ", ".join(f"{n} long" for n in ("word", "c", *parts)))
+    share = lambda k: F.shiftright(F.col(parts[k // 4]), 16 * (k % 4)).bitwiseAND(F.lit(SHARE))
+    # Whole numbers, so the order of the sums doesn't matter.
+    sums = each.groupBy("word").agg(F.sum("c").alias("c"), *[F.sum(F.col("c") * share(k)).alias(f"e{k}") for k in range(states)])
+    pack = lambda i: sum((F.shiftleft(F.round(F.col(f"e{k}") / F.col("c")).cast("long"), 16 * (k % 4)) for k in range(4 * i, min(4 * i + 4, states))), F.lit(0).cast("long"))
+    return staged(sums.select("word", "c", *[pack(i).alias(n) for i, n in enumerate(parts)]), "emissions")
+
+
+def with_words(model: Model, table: DataFrame) -> Model:
+    """The model with the states' totals over the table of words, and the frequent words' own rows."""
+    states, parts = len(model.start), table.columns[2:]
+    share = lambda k: F.shiftright(F.col(parts[k // 4]), 16 * (k % 4)).bitwiseAND(F.lit(SHARE))
+    sums = table.agg(*[F.coalesce(F.sum((F.col("c") * share(k)).cast("decimal(38,0)")), F.lit(0)) for k in range(states)]).first()
+    rows = table.join(F.broadcast(frequent_words(table, model)), "word").collect()  # the frequent words alone
+    at = {h: i for i, h in enumerate(model.frequent.view(np.int64).tolist())}
+    c, q = np.zeros(len(at)), [np.zeros(len(at), np.int64) for _ in parts]
+    for r in rows:
+        c[at[r["word"]]] = r["c"]
+        for part, name in zip(q, parts, strict=True):
+            part[at[r["word"]]] = r[name]
+    return model._replace(state_n=np.array([float(x) for x in sums]) / SHARE, frequent_c=c, frequent_share=unpacked_shares(q, states))
+
+
+def frequent_words(table: DataFrame, model: Model) -> DataFrame:
+    return table.sparkSession.createDataFrame([(x,) for x in model.frequent.view(np.int64).tolist()], "word long")
+
+
 # ---------------------------------------------------------------- scoring
 
 
-def log_forward(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Log10 likelihood of each text's symbols, by the scaled forward recursion."""
+def log_forward(model: Model, emits: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log10 likelihood of each text by the scaled forward recursion; ``emits`` has a row of the states' probabilities for each token."""
     order = np.argsort(-sizes, kind="stable")
-    begin = (np.cumsum(sizes) - sizes)[order]
-    by_symbol, longest = np.ascontiguousarray(model.emit.T), int(sizes.max(initial=0))
+    begin, longest = (np.cumsum(sizes) - sizes)[order], int(sizes.max(initial=0))
     live = np.searchsorted(-sizes[order], -np.arange(1, longest + 1), "right")
     alpha, out = np.tile(model.start, (len(sizes), 1)), np.zeros(len(sizes))
     for t in range(longest):
         m = live[t]
-        a = (alpha[:m] if t == 0 else alpha[:m] @ model.step) * by_symbol[symbols[begin[:m] + t]]
+        a = (alpha[:m] if t == 0 else alpha[:m] @ model.step) * emits[tokens[begin[:m] + t]]
         total = a.sum(1)
         out[:m] += np.log10(total)
         alpha = a / total[:, None]
@@ -251,17 +351,33 @@ def log_forward(model: Model, symbols: np.ndarray, sizes: np.ndarray) -> np.ndar
 SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scored_block(model: Model, row: dict) -> list[np.ndarray]:
-    sizes, local, hashes, endings = row["sizes"].astype(np.int64), row["tokens"], row["hashes"], row["endings"]
-    c = np.zeros(len(hashes))
+def word_rows(model: Model, row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Training counts and states' shares of a block's words, from the model and the rows joined to the block."""
+    c, share = np.zeros(len(row["hashes"])), np.zeros((len(row["hashes"]), len(model.start)))
     c[row["at"]] = row["c"]
-    base = np.log10((c + SMOOTH) / (model.total + SMOOTH * (model.distinct + 1)))
+    share[row["at"]] = unpacked_shares([row[f"s{i}"] for i in range(-(-len(model.start) // 4))], len(model.start))
+    if len(model.frequent):
+        near = np.minimum(np.searchsorted(model.frequent, row["hashes"]), len(model.frequent) - 1)
+        own = model.frequent[near] == row["hashes"]
+        c[own], share[own] = model.frequent_c[near[own]], model.frequent_share[near[own]]
+    return c, share
+
+
+def emits_of(model: Model, c: np.ndarray, share: np.ndarray, hashes: np.ndarray, endings: np.ndarray) -> np.ndarray:
+    """(words, states): the probability of each word in each state."""
     symbols = symbols_of(model, hashes, endings)
-    inside = np.log10((c + SMOOTH) / (model.ending_n[endings] + SMOOTH * (model.ending_v[endings] + 1)))
-    inside = np.where(symbols < len(model.frequent), 0.0, inside)
+    inside = (c + SMOOTH) / (model.ending_n[endings] + SMOOTH * (model.ending_v[endings] + 1))
+    tied = model.emit.T[symbols] * np.where(symbols < len(model.frequent), 1.0, inside)[:, None]
+    return (c[:, None] * share + model.prior * tied) / (model.state_n + model.prior)
+
+
+def scored_block(model: Model, row: dict) -> list[np.ndarray]:
+    sizes, local = row["sizes"].astype(np.int64), row["tokens"]
+    c, share = word_rows(model, row)
+    base = np.log10((c + SMOOTH) / (model.total + SMOOTH * (model.distinct + 1)))
     cut = np.cumsum(sizes) - sizes
     by_text = lambda x: np.add.reduceat(x[local], cut) if len(cut) else np.zeros(0)
-    return [sizes, by_text((c > 0).astype(np.int64)), by_text(base), log_forward(model, symbols[local], sizes) + by_text(inside)]
+    return [sizes, by_text((c > 0).astype(np.int64)), by_text(base), log_forward(model, emits_of(model, c, share, row["hashes"], row["endings"]), local, sizes)]
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
@@ -269,6 +385,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stat
     blocks = packed(docs, id_col, text_col)
     vocabulary = vocabulary_of(blocks)
     model = fit(blocks, vocabulary, states, rounds, seed)
+    discard(docs.sparkSession, vocabulary)
+    table = emissions(model, blocks)
+    model = with_words(model, table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,10 +399,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stat
                     names=[c.split()[0] for c in SCORES.split(", ")],
                 )
 
-    each = blocks.select("block", F.posexplode("hashes").alias("at", "word"))
-    known = each.join(vocabulary.select("word", "c"), "word").select("block", "at", "c")
+    lists = ["at", *table.columns[1:]]
+    each = blocks.select("block", F.posexplode("hashes").alias("at", "word")).join(F.broadcast(frequent_words(table, model)), "word", "left_anti")
     # One row for each word of a block: bounded by the block's text.
-    counts = staged(known.groupBy("block").agg(F.collect_list("at").alias("at"), F.collect_list("c").alias("c")), "block-counts")
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    ready = blocks.drop("counts").join(counts, "block", "left").withColumns({"at": F.coalesce("at", none("int")), "c": F.coalesce("c", none("long"))})
+    known = each.join(table, "word").groupBy("block").agg(*[F.collect_list(x).alias(x) for x in lists])
+    ready = blocks.drop("counts").join(known, "block", "left").withColumns({x: F.coalesce(x, F.array().cast(f"array<{'int' if x == 'at' else 'long'}>")) for x in lists})
     return ready.drop("block").mapInArrow(run, SCORES).withColumnRenamed("id", id_col)

@@ -149,7 +149,7 @@ def test_expected_counts_and_likelihood_equal_enumeration():
     for a, b in zip(got, (starts, steps, emits, total), strict=True):
         assert np.allclose(a, b, atol=1e-5)
     flat = np.array([x for q in seqs[::-1] for x in q])
-    assert hmm.log_forward(model, flat, np.array([1, 2, 4])).sum() == pytest.approx(total / math.log(10))
+    assert hmm.log_forward(model, model.emit.T, flat, np.array([1, 2, 4])).sum() == pytest.approx(total / math.log(10))
 
 
 def check_scores(docs, rows):
@@ -172,22 +172,82 @@ def test_scores(documents, odd, nothing):
     check_scores(documents.where(hmm.held_out()).collect(), hmm.scores(documents.where(hmm.held_out())).collect())
 
 
-def test_words_of_the_model_sum_to_one(documents):
+@pytest.fixture(scope="module")
+def trained(documents):
     blocks = hmm.packed(documents, "doc_id", "text")
     vocabulary = hmm.vocabulary_of(blocks)
-    model = hmm.fit(blocks, vocabulary, states=3, rounds=1)
+    model = hmm.fit(blocks, vocabulary, states=5, rounds=1)
+    table = hmm.emissions(model, blocks)
+    return blocks, vocabulary, hmm.with_words(model, table), table
+
+
+def all_words(vocabulary, model, table):
+    """Hashes, endings, counts and shares of all training words, and a word of each class that training never saw."""
+    rows = vocabulary.join(table.drop("c"), "word").collect()
+    c = np.array([r["c"] for r in rows] + [0] * hmm.ENDINGS, float)
+    parts = [np.array([r[n] for r in rows] + [0] * hmm.ENDINGS) for n in table.columns[2:]]
+    hashes = np.append(np.array([r["word"] for r in rows], np.int64).view(np.uint64), np.arange(hmm.ENDINGS, dtype=np.uint64))
+    return hashes, np.append([r["ending"] for r in rows], np.arange(hmm.ENDINGS)), c, hmm.unpacked_shares(parts, len(model.start))
+
+
+def test_words_of_the_model_sum_to_one(trained):
+    _, vocabulary, model, table = trained
     assert np.allclose(model.emit.sum(1), 1) and np.allclose(model.step.sum(1), 1)
-    rows = vocabulary.collect()
-    hashes = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
-    symbol = hmm.symbols_of(model, hashes, np.array([r["ending"] for r in rows]))
-    own = symbol < len(model.frequent)
-    assert own.sum() == len(model.frequent) == min(hmm.FREQUENT, len(rows))
-    inside = np.zeros(hmm.ENDINGS)
-    for r, mine in zip(rows, own, strict=True):
-        if not mine:
-            inside[r["ending"]] += (r["c"] + 0.1) / (model.ending_n[r["ending"]] + 0.1 * (model.ending_v[r["ending"]] + 1))
-    unseen = 0.1 / (model.ending_n + 0.1 * (model.ending_v + 1))
-    assert np.allclose(inside + unseen, 1)
+    hashes, endings, c, share = all_words(vocabulary, model, table)
+    assert len(hashes) == vocabulary.count() + hmm.ENDINGS == model.distinct + hmm.ENDINGS and len(model.frequent) == min(hmm.FREQUENT, model.distinct)
+    assert np.allclose(hmm.emits_of(model, c, share, hashes, endings).sum(0), 1)
+
+
+def test_emissions_are_expected_counts_of_every_word(trained):
+    blocks, vocabulary, model, table = trained
+    want, c = {}, {}
+    for batch in blocks.drop("block").toArrow().to_batches():
+        for i in range(len(batch)):
+            row = hmm.cells(batch, i)
+            got = hmm.expected_in(model, row, by_word=True)[2].T
+            for j in np.flatnonzero(row["counts"]):
+                h = int(row["hashes"][j].view(np.int64))
+                want[h], c[h] = want.get(h, 0) + got[j], c.get(h, 0) + row["counts"][j]
+    rows = table.collect()
+    assert {r["word"]: r["c"] for r in rows} == c and len(rows) == model.distinct
+    shares = hmm.unpacked_shares([np.array([r[n] for r in rows]) for n in table.columns[2:]], 5)
+    for r, s in zip(rows, shares, strict=True):
+        assert np.allclose(r["c"] * s, want[r["word"]], atol=2e-4 * r["c"] + 1e-4)
+    assert np.allclose(model.state_n, sum(r["c"] * s for r, s in zip(rows, shares, strict=True)))
+
+
+def test_scores_are_the_models_forward_probabilities(trained, documents):
+    """Plain forward recursion over each text's words with the table of all words."""
+    blocks, vocabulary, model, table = trained
+    hashes, endings, c, share = all_words(vocabulary, model, table)
+    emits = hmm.emits_of(model, c, share, hashes, endings)
+    at = {int(h): i for i, h in enumerate(hashes[: -hmm.ENDINGS])}
+    found = {r["doc_id"]: r["score"] for r in hmm.scores(documents, states=5, rounds=1).collect()}
+    checked = 0
+    for batch in blocks.drop("block").toArrow().to_batches():
+        for i in range(len(batch)):
+            row = hmm.cells(batch, i)
+            ends = np.cumsum(row["sizes"])
+            for doc, size, end in list(zip(row["ids"].to_pylist(), row["sizes"], ends, strict=True))[:40]:
+                state, total = model.start, 0.0
+                for t, w in enumerate(row["tokens"][end - size : end]):
+                    j = at.get(int(row["hashes"][w]), len(at) + int(row["endings"][w]))
+                    state = (state if t == 0 else state @ model.step) * emits[j]
+                    total += math.log10(state.sum())
+                    state = state / state.sum()
+                assert found[doc] == pytest.approx(total, rel=1e-9)
+                checked += 1
+    assert checked >= 40
+
+
+def test_what_scoring_gathers_grows_with_the_corpus(documents):
+    half = documents.where("doc_id % 2 = 0")
+    sizes = []
+    for docs in (half, documents):
+        blocks = hmm.packed(docs, "doc_id", "text")
+        vocabulary = hmm.vocabulary_of(blocks)
+        sizes.append(hmm.emissions(hmm.fit(blocks, vocabulary, states=2, rounds=0), blocks).count())
+    assert sizes[1] > 1.3 * sizes[0]
 
 
 def test_rounds_of_training_raise_the_likelihood(documents):
