@@ -11,9 +11,9 @@ are the connected texts. Method:
 * Copies. Texts with the same words (128-bit hash and count) are one vertex from here on.
 * Candidates. In each group of equal keys every text is paired with one hub only, so a
   group of n texts makes n - 1 pairs. The texts that turn out not to be similar to the hub
-  are grouped again among themselves, by longer tuples and with more hubs in later rounds
-  (4, 16, then ``HUBS``, chosen by hash), until no such group has two texts. These pairs grow
-  with texts times hubs; longer tuples only order the work.
+  are grouped again among themselves, twice, by longer tuples and with more hubs (``HUBS``, the
+  first texts of so many slots that a hash deals). These pairs grow with texts times hubs;
+  longer tuples only order the work.
 * Completion. Texts of one group of equal two-tuples that the links so far don't join are
   paired exactly: texts with at most d edits share all but d words, so in any common order
   of words they share one of the first d + 1. Words that the group's hub lacks come first,
@@ -34,8 +34,11 @@ alignment's band is bits of Python integers. Hot groups: keys and hubs are joine
 merge between freshly dealt tables, which Spark may split where one key is hot.
 
 Defined results: texts without words (null, empty, white space) form one class; a text of
-fewer than five words is one run; repeated rows are members; rows with a null id are each
-a class of their own by text like any other; other columns are ignored.
+fewer than five words is one run; a very long text is sketched and aligned whole; repeated
+rows are members of their text's class; rows with a null id are classed by their text like
+any other, and any id beats null as the class's smallest; of rows that tie for it the first is
+kept; an empty table gives an empty result; other columns, of any name, are ignored unless
+kept.
 """
 
 from __future__ import annotations
@@ -234,9 +237,18 @@ def verified(pairs: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
             near = [similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64), least) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("row"), pa.array(near, pa.bool_())], names=["hub", "row", "near"])
 
-    half = pairs.join(tokens, "row").select("hub", "row", F.col("tokens").alias("b"))
-    both = half.join(tokens.select(F.col("row").alias("hub"), F.col("tokens").alias("a")), "hub")
-    return both.select("hub", "row", "a", "b").mapInArrow(run, "hub long, row long, near boolean")
+    return with_tokens(pairs, tokens).select("hub", "row", "a", "b").mapInArrow(run, "hub long, row long, near boolean")
+
+
+def with_tokens(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``pairs`` (staged; hub, row and other columns) with the words of the hub as ``a`` and of the row as ``b``.
+
+    Only words of texts that are in a pair move. The last join is by row, so that the pairs of a
+    hot hub end up in many tasks.
+    """
+    hubs = tokens.join(pairs.select(F.col("hub").alias("row")).distinct(), "row", "left_semi")
+    half = pairs.join(hubs.select(F.col("row").alias("hub"), F.col("tokens").alias("a")), "hub")
+    return half.join(tokens.withColumnRenamed("tokens", "b"), "row")
 
 
 # ---------------------------------------------------------------- completion
@@ -296,9 +308,7 @@ def completed(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
             for at in range(0, len(flat), 1 << 16):
                 yield flat.slice(at, 1 << 16)
 
-    half = members.join(tokens, "row").select("hub", "row", "root", F.col("tokens").alias("b"))
-    both = half.join(tokens.select(F.col("row").alias("hub"), F.col("tokens").alias("a")), "hub")
-    each = both.select("hub", "row", "root", "a", "b").mapInArrow(run, "hub long, row long, root long, word long, n int, left int")
+    each = with_tokens(members, tokens).select("hub", "row", "root", "a", "b").mapInArrow(run, "hub long, row long, root long, word long, n int, left int")
     # Only words of two texts at least pair any.
     each = staged(each, "prefixes")
     several = each.groupBy("hub", "word").agg(F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hub", "word")
@@ -361,25 +371,28 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = rows.select("row", "keys").join(own, "row").select("row", by_band.alias("k")).select("row", "k.*")
     shared = staged(keyed.groupBy(level[0]).agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "shared")
     keyed = staged(keyed.join(shared, level[0]).drop("n", "first"), "keyed")
-    tokens = staged(rows.select("row", "tokens").join(keyed.select("row").distinct(), "row"), "tokens")
+    paired = staged(keyed.select("row").distinct(), "paired")
+    tokens = staged(rows.select("row", "tokens").join(paired, "row"), "tokens")
     # Groups by their first hub; groups of one hub count as one.
     grouped = staged(keyed.join(shared, level[0]).where("row <> first").select(F.col("first").alias("hub"), "row").distinct(), "grouped")
 
     links, verdicts = [], []
     for number, hubs_of_group in enumerate(HUBS):
         group = [level[0], level[number]][: number + 1]
-        sizes = staged(keyed.groupBy(*group).agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "sizes")
-        one_in = F.ceil(F.col("n") / hubs_of_group)
-        chosen = F.lit(False) if number == 0 else F.pmod(F.xxhash64("row", F.lit(number)), one_in) == 0
-        marked = staged(keyed.join(sizes, group).withColumn("is_hub", (F.col("row") == F.col("first")) | chosen).drop("n", "first"), "marked")
-        hubs = staged(marked.where("is_hub").select(*group, F.col("row").alias("hub")), "hubs")
-        full = staged(marked.join(hubs, group).where("row <> hub and (not is_hub or row > hub)"), "full")
-        verdict = staged(verified(full.select("hub", "row").distinct(), tokens, similarity), "verdicts")
+        slot = F.pmod(F.xxhash64("row", F.lit(number)), F.lit(hubs_of_group))
+        slotted = keyed.withColumn("slot", slot)
+        hubs = staged(slotted.groupBy(*group, "slot").agg(F.min("row").alias("hub")), "hubs")
+        marked = slotted.join(hubs, [*group, "slot"]).withColumn("is_hub", F.col("row") == F.col("hub")).drop("hub", "slot")
+        full = staged(marked.join(hubs.drop("slot"), group).where("row <> hub and (not is_hub or row > hub)"), "full")
+        pairs = staged(full.select("hub", "row").distinct(), "pairs")
+        verdict = staged(verified(pairs, tokens, similarity), "verdicts")
         verdicts.append(verdict)
         links.append(verdict.where("near").select(F.col("hub").alias("u"), F.col("row").alias("v")))
         apart = full.where("not is_hub").join(verdict, ["hub", "row"]).groupBy(*level, "row").agg(F.max("near").alias("near"))
         old, keyed = keyed, staged(apart.where("not near").drop("near"), "apart")
-        discard(spark, old, sizes, marked, hubs, full)
+        discard(spark, old, hubs, full, pairs)
+        if keyed.isEmpty():
+            break
     union = links[0]
     for more in links[1:]:
         union = union.unionByName(more)
@@ -398,7 +411,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     placed = staged(
         members.join(roots.withColumnRenamed("v", "vertex"), "vertex", "left").select("row", "id", *kept, F.coalesce("root", "vertex").alias("root")), "placed"
     )
-    discard(spark, rows, vertices, members, shared, keyed, tokens, *verdicts)
+    discard(spark, rows, vertices, members, shared, keyed, paired, tokens, *verdicts)
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = staged(placed.groupBy("root").agg(best.alias("best"), F.count("*").alias("class_size")), "classes")
     return placed.join(classes, "root").select(
