@@ -5,11 +5,14 @@ least ``REVISIT_BYTES`` bytes the one with the smallest id is a response record
 others revisit it. Each record is its own gzip member, so any record can be read alone.
 
 Reading. A record is checked: gzip's own checksum and length, the version line, the header
-lines, Content-Length and the payload's digest. After a failed check the reader looks for
-the next place where a valid member begins (gzip's magic, a member that decompresses to a
-version line), or the next version line in a file that isn't compressed, goes on from there
-and reports the bytes it left out as a gap, with the reason. Later records are never lost to
-earlier damage.
+lines, Content-Length and the payload's digest (sha256 or md5 in hex, sha1 in base 32 or
+hex). After a failed check the reader looks for the next place where a valid member begins
+(gzip's magic, a member that decompresses to a version line), or the next version line in a
+file that isn't compressed, goes on from there and reports the bytes it left out as a gap,
+with the reason. Later records are never lost to earlier damage, and a file is searched once
+however many damages it has. Records and the log of gaps come from one pass.
+
+Memory: a file is held whole by the task that reads it, so ``FILE_BYTES`` bounds what is written.
 
 Only ids, digests and lengths are shuffled for the choice of revisits; payloads move once, to
 join the choice, and are then written where they are. A group of equal payloads is joined to
@@ -17,12 +20,14 @@ its first one by a sort merge between freshly dealt tables, which Spark may spli
 
 Defined results: a null payload is empty; a null id is written without an id and read as null,
 and it loses to any id as the first of its payload; repeated rows are records like any other
-(the later of two rows with the same id and payload is a revisit of it); an empty table writes
-no file; other columns are ignored.
+(the later of two rows with the same id and payload is a revisit of it); a very long payload is
+one record, and its file ends after it; an empty table writes no file; other columns, of any
+name, are ignored.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -36,10 +41,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, staged
+from .common import delete, discard, new_folder, staged
 
 REVISIT_BYTES = 100
-FILE_BYTES = 256 << 20
+FILE_BYTES = 64 << 20
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/\d+\.\d+\r\n")
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -124,12 +129,21 @@ def parsed(raw: bytes, at: int, offset: int) -> tuple[Record, int]:
     if stop + 4 > len(raw) or raw[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("the block doesn't end where Content-Length says")
     found = Record(offset, headers, raw[end + 4 : stop])
-    kind, _, digest = headers.get("warc-payload-digest", "").partition(":")
-    if kind == "sha256" and headers.get("warc-type") != "revisit" and hashlib.sha256(found.payload).hexdigest() != digest:
+    if headers["warc-type"] != "revisit" and not digest_fits(headers.get("warc-payload-digest", ""), found.payload):
         raise Damaged("the payload's digest differs")
     return found, stop + 4
 
 
+def digest_fits(told: str, payload: bytes) -> bool:
+    """Whether a digest header's value is the payload's; kinds that aren't known fit."""
+    kind, _, digest = told.partition(":")
+    kind = kind.lower().replace("-", "")
+    if kind not in ("sha256", "sha1", "md5"):
+        return True
+    own = hashlib.new(kind, payload).digest()
+    return digest.lower() == own.hex() or digest.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def unzipped(data: bytes, at: int) -> tuple[bytes, int]:
     """The gzip member at ``at`` and where it ends; raises Damaged."""
     unpack, out, place = zlib.decompressobj(31), [], at
@@ -156,6 +170,7 @@ def begins_record(data: bytes, at: int) -> bool:
 def salvaged(data: bytes) -> Iterator[Record | Gap]:
     """All sound records of an archive in order, and the byte gaps between them."""
     at, bad, why = 0, None, ""
+    zipped = plain = -1  # the next places of each kind found so far
     while at < len(data):
         try:
             if data[at : at + 3] == MAGIC:
@@ -168,10 +183,12 @@ def salvaged(data: bytes) -> Iterator[Record | Gap]:
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
-            zipped, plain = data.find(MAGIC, at + 1), VERSION.search(data, at + 1)
-            while zipped >= 0 and not begins_record(data, zipped):
-                zipped = data.find(MAGIC, zipped + 1)
-            at = min([x for x in (zipped, plain.start() if plain else -1) if x >= 0], default=len(data))
+            if zipped <= at:
+                zipped = next_member(data, at + 1)
+            if plain <= at:
+                line = VERSION.search(data, at + 1)
+                plain = line.start() if line else len(data)
+            at = min(zipped, plain)
             continue
         if bad is not None:
             yield Gap(bad, at, why)
@@ -182,12 +199,21 @@ def salvaged(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(bad, len(data), why)
 
 
+def next_member(data: bytes, at: int) -> int:
+    """Where the next gzip member that holds a record begins, or the end."""
+    while (at := data.find(MAGIC, at)) >= 0:
+        if begins_record(data, at):
+            return at
+        at += 1
+    return len(data)
+
+
 # ---------------------------------------------------------------- tables
 
 
 FILES = "path string, n_records long, n_bytes long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long"
-GAPS = "path string, start long, end long, reason string"
+FOUND = f"{RECORDS}, gap_end long, reason string"
 
 
 def record_plan(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
@@ -230,46 +256,64 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         for f in done:
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in f], names=["path", "n_records", "n_bytes"])
 
-    return staged(ready.mapInArrow(run, FILES), "warc-files")
+    files = staged(ready.mapInArrow(run, FILES), "warc-files")
+    discard(pages.sparkSession, own, revisits)
+    return files
 
 
-def read_archives(files: DataFrame, folder: str, gaps: bool = False) -> DataFrame:
-    """All records of the files that ``files.path`` names, or with ``gaps`` the quarantined byte ranges."""
-    names = [c.split()[0] for c in (GAPS if gaps else RECORDS).split(", ")]
+def salvage(files: DataFrame, folder: str) -> DataFrame:
+    """Records and gaps of the files that ``files.path`` names, in one pass; a gap is a row with a reason, from ``offset`` to ``gap_end``."""
     kinds = {"long": pa.int64(), "string": pa.string()}
-    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in (GAPS if gaps else RECORDS).split(", ")])
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in FOUND.split(", ")])
 
     def row(path: str, x: Record | Gap) -> tuple:
         if isinstance(x, Gap):
-            return path, x.start, x.end, x.reason
-        number = lambda k: int(x.headers[k]) if k in x.headers else None
+            return None, None, None, None, None, path, x.start, x.end, x.reason
+        number = lambda k: int(x.headers[k]) if x.headers.get(k, "").lstrip("-").isdigit() else None
         revisit = x.headers.get("warc-type") == "revisit"
         payload = x.payload
         digest = x.headers.get("warc-payload-digest", "").partition(":")[2] if revisit else hashlib.sha256(payload).hexdigest()
         size = number("page-payload-length") if revisit else len(payload)
-        return number("page-id"), size, digest, x.headers.get("warc-type"), number("page-refers-to"), path, x.offset
+        return number("page-id"), size, digest, x.headers.get("warc-type"), number("page-refers-to"), path, x.offset, None, None
+
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pyarrow.fs.FileSystem.from_uri(folder)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 with store.open_input_file(path) as source:
-                    data = source.read()
-                held = []
+                    data, held = source.read(), []
                 for x in salvaged(data):
-                    if isinstance(x, Gap) == gaps:
-                        held.append(row(path, x))
+                    held.append(row(path, x))
                     if len(held) >= 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                        yield batch_of(held)
                         held = []
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+                    yield batch_of(held)
 
     n = max(1, min(files.count(), 10_000))
-    return files.select("path").repartition(n, "path").mapInArrow(run, GAPS if gaps else RECORDS).select(*names)
+    return files.select("path").repartition(n, "path").mapInArrow(run, FOUND)
+
+
+def records_of(found: DataFrame) -> DataFrame:
+    return found.where("reason is null").drop("gap_end", "reason")
+
+
+def gaps_of(found: DataFrame) -> DataFrame:
+    """(path, start, end, reason): the quarantined byte ranges."""
+    return found.where("reason is not null").select("path", F.col("offset").alias("start"), F.col("gap_end").alias("end"), "reason")
 
 
 def archive_round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
+    """Write all pages, read them back, and raise where the archives lack a record or have a gap."""
     folder = new_folder(pages.sparkSession, "warc")
-    found = read_archives(write_archives(pages, folder, id_col, "url", payload_col), folder)
-    return found.withColumnRenamed("page_id", id_col)
+    files = write_archives(pages, folder, id_col, "url", payload_col)
+    found = staged(salvage(files, folder), "warc-found")
+    written = files.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
+    read, gaps = found.agg(F.count_if(F.col("reason").isNull()), F.count_if(F.col("reason").isNotNull())).first()
+    if gaps or read != written:
+        raise ValueError(f"{written} records written, {read} read, {gaps} gaps below {folder}")
+    delete(pages.sparkSession, folder)
+    return records_of(found).withColumnRenamed("page_id", id_col)

@@ -1,5 +1,6 @@
 """Token files and archives: round trips and damage."""
 
+import base64
 import gzip
 import hashlib
 import io
@@ -11,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodestone.llm import token_files as tf
@@ -201,5 +203,32 @@ def test_gaps_are_logged(spark, data):
     raw[len(raw) // 2] ^= 0xFF
     with store.open_output_stream(path, compression=None) as f:
         f.write(bytes(raw))
-    gaps = warc.read_archives(files, folder, gaps=True).collect()
-    assert len(gaps) == 1 and gaps[0]["path"] == path and warc.read_archives(files, folder).count() == pages.count() - 1
+    found = warc.salvage(files, folder).persist()
+    gaps = warc.gaps_of(found).collect()
+    assert len(gaps) == 1 and gaps[0]["path"] == path and gaps[0]["start"] < gaps[0]["end"] and warc.records_of(found).count() == pages.count() - 1
+
+
+def test_other_digests_are_checked():
+    payload = b"some payload"
+    sha1 = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    for told in (f"sha1:{sha1}", f"sha1:{hashlib.sha1(payload).hexdigest()}", f"md5:{hashlib.md5(payload).hexdigest()}", "blake3:unknown", ""):
+        assert warc.digest_fits(told, payload)
+    for told in (f"sha1:{sha1[::-1]}", "md5:0", "sha256:"):
+        assert not warc.digest_fits(told, payload)
+
+
+def test_many_damages_are_searched_once(monkeypatch):
+    tried, begins = [], warc.begins_record
+    monkeypatch.setattr(warc, "begins_record", lambda data, at: tried.append(at) or begins(data, at))
+    parts = archive(60)
+    broken = b"".join(p[:-9] + bytes(9) if i % 2 else p for i, p in enumerate(parts))
+    ids, gaps = found(broken)
+    assert ids == list(range(0, 60, 2)) and len(gaps) == 30
+    assert len(tried) == len(set(tried)) <= broken.count(warc.MAGIC)
+
+
+def test_long_payloads_and_clashing_names(spark):
+    rows = [(i, "u", ("<p>" + str(i)) * 400_000, "x") for i in range(3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, x string").withColumns({c: F.lit("x") for c in ("row", "id", "refers_to", "path", "reason")})
+    got = warc.archive_round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    check_pages(pages.collect(), got)
