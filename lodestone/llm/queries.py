@@ -12,7 +12,7 @@ from .exact_dedup import exact_groups
 from .mixing import mix
 from .near_dedup import near_classes
 from .sharding import sharded
-from .token_counts import TokenLedger, changes, counts_of
+from .token_counts import TokenLedger, changes, word_counts
 from .token_files import token_round_trip
 from .warc import archive_round_trip
 
@@ -52,8 +52,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: all documents come; those labelled toxic go; those of low quality are
     counted again without their cell bars; and the first batch comes once more, to no effect."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    bare = F.replace(F.col("text"), F.lit("|"), F.lit(" "))
-    counted = staged(docs.select("doc_id", "source", "lang", counts_of(F.col("text")).alias("counts"), counts_of(bare).alias("bare")), "counted")
+    counted = staged(word_counts(docs, ("doc_id", "source", "lang"), blank="|"), "counted")
     toxic, poor = labels.where("toxic = 1").select("doc_id"), labels.where("toxic = 0 and quality = 0").select("doc_id")
     ledger = TokenLedger(spark, new_folder(spark, "ledger"))
     ledger.commit("1-all", changes(counted, F.col("counts")))

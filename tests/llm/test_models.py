@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import hmm, langid
 from lodestone.llm.common import new_folder
-from lodestone.llm.token_counts import VERSIONS, TokenLedger, bpe_counts, changes, counts_of
+from lodestone.llm.token_counts import VERSIONS, TokenLedger, bpe_counts, changes, counts_of, word_counts
 
 # ---------------------------------------------------------------- totals
 
@@ -55,6 +55,49 @@ def test_ledger(spark, odd):
     assert totals(TokenLedger(spark, ledger.folder)) == sums(left) and ledger.batches() == ["a", "b", "c", "d"]
 
 
+@pytest.mark.parametrize("least_bytes", [0, 1 << 30])
+def test_compaction_changes_no_total(spark, documents, least_bytes):
+    folder, rng = new_folder(spark, "test-ledger"), np.random.default_rng(1)
+    counts = counts_of(F.col("text"))
+    texts = {r["doc_id"]: r.asDict() for r in documents.select("doc_id", "source", "lang", "text").collect()}
+    live, buckets = dict(texts), set()
+    ledger = TokenLedger(spark, folder, buckets=8, least_bytes=least_bytes)
+    ledger.commit("0", changes(documents, counts))
+    for n in range(1, 5):
+        some = [int(i) for i in rng.choice(list(texts), 12, replace=False)]
+        part = documents.where(F.col("doc_id").isin(some))
+        if n % 2:
+            ledger.commit(str(n), changes(part, None))
+            live = {i: r for i, r in live.items() if i not in some}
+        else:
+            ledger.commit(str(n), changes(part.withColumn("text", F.concat("text", F.lit(" more words"))), counts))
+            live |= {i: texts[i] | {"text": texts[i]["text"] + " more words"} for i in some}
+        assert totals(TokenLedger(spark, folder, buckets=8)) == sums(live.values())
+    states = ledger._names("states")
+    assert bool(states) == (least_bytes == 0)
+    ledger.compact()
+    before, since = ledger._logs()
+    assert not since and ledger._read(before, "doc_id long, bucket int").count() == len(live)
+    assert not ledger.commit("3", changes(documents, None)) and totals(ledger) == sums(live.values())
+
+
+def test_repeated_rows_of_a_batch_count_once(spark):
+    rows = [(1, "a b", "s", "en"), (1, "a b", "s", "en"), (None, "c", "s", "en"), (None, "c", "s", "en")]
+    ledger = TokenLedger(spark, new_folder(spark, "test-ledger"))
+    ledger.commit("a", changes(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), counts_of(F.col("text"))))
+    assert totals(ledger) == {("s", "en", v): (3, 4) for v in VERSIONS}
+
+
+def test_counting_many_texts_at_once(odd, documents):
+    for docs in (odd, documents):
+        bare = F.replace(F.col("text"), F.lit("|"), F.lit(" "))
+        want = docs.select("doc_id", counts_of(F.col("text")).alias("counts"), counts_of(bare).alias("bare"))
+        assert sorted(map(repr, word_counts(docs, ("doc_id",), blank="|").collect())) == sorted(map(repr, want.collect()))
+    names = ("counts", "bare", "n0", "k0", "_n0")
+    found = word_counts(odd.withColumns({c: odd["row"] for c in names}), ("doc_id", *names))
+    assert set(found.columns) == {"doc_id", *names} and found.count() == odd.count()
+
+
 def test_a_batch_cut_short_leaves_nothing(spark, odd, monkeypatch):
     ledger = TokenLedger(spark, new_folder(spark, "test-ledger"))
     batch = changes(odd, counts_of(F.col("text")))
