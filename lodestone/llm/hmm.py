@@ -53,6 +53,7 @@ ENDINGS = 512
 SEGMENT = 128
 SLICE = 4096  # segments at once
 SHARE = (1 << 16) - 1
+PLACE_BITS = 26
 ROUNDS = 5
 SMOOTH = 0.1
 SEED = 3
@@ -97,7 +98,10 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             data = words.LOWER[data]
             starts, ends, before = words.spans(data, offsets, words.NOT_SPACE)
             h = words.hashes(data, starts, ends)
-            keys, first, local = np.unique(h, return_index=True, return_inverse=True)
+            keys, first, local, often = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            # The most frequent words get the smallest numbers, which compress best.
+            turn = np.argsort(-often, kind="stable")
+            keys, first, local = keys[turn], first[turn], np.argsort(turn)[local]
             sizes = np.diff(before) + 1
             tokens = np.full(len(h) + len(rows), len(keys), np.uint32)  # the end is the last word
             tokens[np.arange(len(h)) + words.rows_of(before)] = local
@@ -109,12 +113,14 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind) if not isinstance(x, pa.Array) else x)
             hashes = np.append(keys, END).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [one(rows.column("id"), None), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([pack.compress(tokens.tobytes())]), one(hashes, pa.int64()), one(counts, pa.int64()), one(ending, pa.int16())],
+                [one(rows.column("id"), None), one(held, pa.bool_()), one(sizes, pa.int32()), pa.array([pack.compress(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 4).T).tobytes())]), one(hashes, pa.int64()), one(counts, pa.int64()), one(ending, pa.int16())],
                 names=["ids", "held", "sizes", "tokens", "hashes", "counts", "endings"],
             )
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), held_out(id_col).alias("held"), F.col(text_col).alias("text"))
-    return staged(texts.mapInArrow(run, BLOCK).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    # 15 bits for the blocks of a task, 22 for its number; a word of a block takes PLACE_BITS more.
+    number = F.monotonically_increasing_id()
+    return staged(texts.mapInArrow(run, BLOCK).withColumn("block", F.shiftleft(F.shiftright(number, 33), 15) + number.bitwiseAND((1 << 33) - 1)), "blocks")
 
 
 def cells(batch: pa.RecordBatch, i: int) -> dict:
@@ -122,7 +128,8 @@ def cells(batch: pa.RecordBatch, i: int) -> dict:
     out = {}
     for name, column in zip(batch.schema.names, batch.columns, strict=True):
         if name == "tokens":
-            out[name] = np.frombuffer(zstandard.ZstdDecompressor().decompress(column[i].as_py()), np.uint32)
+            planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(column[i].as_py()), np.uint8)
+            out[name] = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).reshape(-1)
         else:
             flat = column.slice(i, 1).flatten()
             out[name] = flat if name == "ids" else flat.to_numpy(zero_copy_only=False)
@@ -400,8 +407,12 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stat
                 )
 
     lists = ["at", *table.columns[1:]]
-    each = blocks.select("block", F.posexplode("hashes").alias("at", "word")).join(F.broadcast(frequent_words(table, model)), "word", "left_anti")
+    # Where a word stands: the block's number (part and place in it) and the word's in the block, as one number.
+    at = F.shiftleft(F.col("block"), PLACE_BITS) + F.col("at")
+    each = blocks.select("block", F.posexplode("hashes").alias("at", "word")).select("word", at.alias("where"))
+    each = each.join(F.broadcast(frequent_words(table, model)), "word", "left_anti")
     # One row for each word of a block: bounded by the block's text.
-    known = each.join(table, "word").groupBy("block").agg(*[F.collect_list(x).alias(x) for x in lists])
+    place = [F.shiftright("where", PLACE_BITS).alias("block"), F.col("where").bitwiseAND((1 << PLACE_BITS) - 1).cast("int").alias("at")]
+    known = each.join(table, "word").select(*place, *table.columns[1:]).groupBy("block").agg(*[F.collect_list(x).alias(x) for x in lists])
     ready = blocks.drop("counts").join(known, "block", "left").withColumns({x: F.coalesce(x, F.array().cast(f"array<{'int' if x == 'at' else 'long'}>")) for x in lists})
     return ready.drop("block").mapInArrow(run, SCORES).withColumnRenamed("id", id_col)
