@@ -61,7 +61,7 @@ SIMILARITY = 0.8
 SEED = 11
 NARROW = 24
 HUBS = (1, 2, 4)
-RARITY_BITS = 18
+RARITY_BITS = 22
 
 
 # ---------------------------------------------------------------- sketches
@@ -246,27 +246,33 @@ def with_tokens(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     Only words of texts that are in a pair move. The last join is by row, so that the pairs of a
     hot hub end up in many tasks.
     """
-    hubs = tokens.join(pairs.select(F.col("hub").alias("row")).distinct(), "row", "left_semi")
-    half = pairs.join(hubs.select(F.col("row").alias("hub"), F.col("tokens").alias("a")), "hub")
-    return half.join(tokens.withColumnRenamed("tokens", "b"), "row")
+    of = lambda side: tokens.join(pairs.select(F.col(side).alias("row")).distinct(), "row", "left_semi")
+    half = pairs.join(of("hub").select(F.col("row").alias("hub"), F.col("tokens").alias("a")), "hub")
+    return half.join(of("row").withColumnRenamed("tokens", "b"), "row")
 
 
 # ---------------------------------------------------------------- completion
 
 
 def rarity(tokens: DataFrame) -> np.ndarray:
-    """Occurrences of words by the low bits of their hashes; it orders words only, so sharing a place costs no result."""
+    """Occurrences of words by the low bits of their hashes, up to 65,535.
+
+    It orders words, so sharing a place costs no result; a place with one occurrence is a word
+    that one text has alone.
+    """
+    size = 1 << RARITY_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << RARITY_BITS, np.int64)
+        total = np.zeros(size, np.int32)
         for batch in batches:
-            for x in batch.column("tokens"):
-                np.add.at(total, np.frombuffer(x.as_buffer(), np.uint64) & np.uint64(len(total) - 1), 1)
+            data, _ = words.buffer_of(batch.column("tokens"))
+            total += np.bincount((data[:-8].view(np.uint64) & np.uint64(size - 1)).view(np.int64), minlength=size).astype(np.int32)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "n"])
 
-    found = tokens.select("tokens").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << RARITY_BITS, np.int64)
+    sums = tokens.select("tokens").mapInArrow(run, "at int, n int").groupBy("at").agg(F.sum("n").alias("n")).where("n > 1")
+    found = sums.select("at", F.least("n", F.lit(65_535)).cast("int").alias("n")).toArrow()
+    out = np.ones(size, np.uint16)
     out[found.column("at").to_numpy()] = found.column("n").to_numpy()
     return out
 
@@ -281,26 +287,30 @@ def labelled(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, words.mix(t + turn * np.uint64(0x632BE59BD9B4E019))
 
 
-def prefix(t: np.ndarray, hub: np.ndarray, often: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """The first labelled words of a text, of which a similar text has one among its own first."""
+def prefix(t: np.ndarray, hub: np.ndarray, often: np.ndarray, least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """The first labelled words of a text, of which a similar text has one among its own first, and their places.
+
+    Words that no other text has are left out.
+    """
     word, own = labelled(t)
-    turn = np.lexsort((own, often[word & np.uint64(len(often) - 1)], np.isin(own, labelled(hub)[1])))
-    return own[turn[: int(len(own) * (1 - least) + 1e-9) + 1]]
+    rare = often[word & np.uint64(len(often) - 1)]
+    turn = np.lexsort((own, rare, np.isin(own, labelled(hub)[1])))[: int(len(own) * (1 - least) + 1e-9) + 1]
+    place = np.flatnonzero(rare[turn] > 1)
+    return own[turn[place]], place
 
 
 def completed(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     """Pairs (hub, row) of members (hub, row, root) of one hub with other roots that may be similar."""
-    often = rarity(tokens)
+    often = members.sparkSession.sparkContext.broadcast(rarity(tokens))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in "ab")
-            got = [prefix(y, x, often, least) for x, y in zip(a, b, strict=True)]
-            many = np.array([len(x) for x in got])
+            got = [prefix(y, x, often.value, least) for x, y in zip(a, b, strict=True)]
+            many = np.array([len(x) for x, _ in got], np.int64)
             row = pa.array(np.repeat(np.arange(len(got)), many))
-            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            size = np.repeat([len(x) for x in b], many)
-            word = np.concatenate(got) if got else np.zeros(0, np.uint64)
+            size = np.repeat(np.array([len(x) for x in b], np.int64), many)
+            word, place = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             flat = pa.RecordBatch.from_arrays(
                 [*(batch.column(c).take(row) for c in ("hub", "row", "root")), pa.array(word.view(np.int64)), pa.array(size, pa.int32()), pa.array(size - place, pa.int32())],
                 names=["hub", "row", "root", "word", "n", "left"],

@@ -144,13 +144,24 @@ def test_scattered_edits_inside_a_large_group_are_found(spark):
 
 def test_prefixes_keep_all_similar_pairs():
     rng = np.random.default_rng(4)
-    often, hub = rng.integers(0, 50, 1 << near_dedup.RARITY_BITS), rng.integers(0, 40, 60).astype(np.uint64)
+    often, hub = rng.integers(2, 50, 1 << near_dedup.RARITY_BITS), rng.integers(0, 40, 60).astype(np.uint64)
     for _ in range(500):
         a = rng.integers(0, 60, rng.integers(1, 60)).astype(np.uint64)
         b = a[rng.random(len(a)) > 0.08]
         b = np.insert(b, rng.integers(0, len(b) + 1, len(a) // 12), 77).astype(np.uint64)
         if near_dedup.similar(a, b):
-            assert np.isin(near_dedup.prefix(a, hub, often), near_dedup.prefix(b, hub, often)).any()
+            assert np.isin(near_dedup.prefix(a, hub, often)[0], near_dedup.prefix(b, hub, often)[0]).any()
+
+
+def test_words_of_one_text_alone_pair_nothing():
+    rng = np.random.default_rng(5)
+    size = 1 << near_dedup.RARITY_BITS
+    a = rng.integers(0, 2**63, 100).astype(np.uint64)
+    b = a.copy()
+    b[::9] = rng.integers(0, 2**63, len(b[::9])).astype(np.uint64)
+    often = np.bincount((np.concatenate([a, b]) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint16)
+    (x, at), (y, _) = (near_dedup.prefix(t, np.zeros(0, np.uint64), often) for t in (a, b))
+    assert near_dedup.similar(a, b) and np.isin(x, y).any() and len(x) < 21 and at.max() <= 20
 
 
 def test_a_text_near_the_hub_still_meets_those_that_are_not(spark):
