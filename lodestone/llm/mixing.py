@@ -138,14 +138,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     kept = [F.col(c).alias(f"keep{i}") for i, c in enumerate(keep)]
     sized = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), *kept), "sized")
-    lengths = staged(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
-    plan = levelled(lengths, weights, share, most)
+    counted = staged(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
+    plan = levelled(counted, weights, share, most)
     words = F.least(F.round("target").cast("long"), F.col("source_size") * most)
     rounds = F.coalesce(F.try_divide(words, F.col("source_size")), F.lit(0.0)).cast("long")
     plan = plan.select("source", "source_size", "target", rounds.alias("rounds"), (words - rounds * F.col("source_size")).alias("budget"))
 
     same = lambda a, b, *cols: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
-    joined = lengths.alias("l").join(plan.alias("p"), same("l", "p", "source")).select("l.*", "p.source_size", "p.target", "p.rounds", "p.budget")
+    joined = counted.alias("l").join(plan.alias("p"), same("l", "p", "source")).select("l.*", "p.source_size", "p.target", "p.rounds", "p.budget")
     lengths = staged(
         joined.groupBy("source").applyInPandas(fitted, "source string, size long, n long, rounds long, source_size long, target double, extra long"), "fitted"
     )
@@ -164,7 +164,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.0,
         sub = F.when(F.col("c.n").isNotNull(), F.pmod(F.xxhash64(F.lit(seed), "d.row"), F.ceil(F.col("c.n") / CELL))).otherwise(0).cast("long")
         old, dealt = dealt, staged(dealt.drop("sub").alias("d").join(hot.alias("c"), same("d", "c", *place), "left").select("d.*", sub.alias("sub")), "dealt")
         discard(spark, old)
-    discard(spark, sized, hot)
+    discard(spark, sized, hot, counted, lengths)
     cells = staged(dealt.where("extra > 0").groupBy(*place, "sub").agg(F.count("*").alias("n"), F.first("extra").alias("extra")), "cell-sizes")
     upto = running_total(cells, [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("cell"), F.col("sub")], "n", "upto").withColumn("begin", F.col("upto") - F.col("n"))
     begins = upto.groupBy("source", "size").agg(F.min("begin").alias("first"))
