@@ -311,14 +311,16 @@ def completed(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
             row = pa.array(np.repeat(np.arange(len(got)), many))
             size = np.repeat(np.array([len(x) for x in b], np.int64), many)
             word, place = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            last = np.append(np.zeros(1, np.uint64), word)[: len(word)]
+            last[np.cumsum(many)[many > 0] - many[many > 0]] = 0  # the first word of a text follows none
             flat = pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(row) for c in ("hub", "row", "root")), pa.array(word.view(np.int64)), pa.array(size, pa.int32()), pa.array(size - place, pa.int32())],
-                names=["hub", "row", "root", "word", "n", "left"],
+                [*(batch.column(c).take(row) for c in ("hub", "row", "root")), pa.array(word.view(np.int64)), pa.array(last.view(np.int64)), pa.array(size, pa.int32()), pa.array(size - place, pa.int32())],
+                names=["hub", "row", "root", "word", "last", "n", "left"],
             )
             for at in range(0, len(flat), 1 << 16):
                 yield flat.slice(at, 1 << 16)
 
-    each = with_tokens(members, tokens).select("hub", "row", "root", "a", "b").mapInArrow(run, "hub long, row long, root long, word long, n int, left int")
+    each = with_tokens(members, tokens).select("hub", "row", "root", "a", "b").mapInArrow(run, "hub long, row long, root long, word long, last long, n int, left int")
     # Only words of two texts at least pair any.
     each = staged(each, "prefixes")
     several = each.groupBy("hub", "word").agg(F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hub", "word")
@@ -327,7 +329,9 @@ def completed(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     # Words in common: at most those from the first shared one on, at least all but the edits allowed.
     need = F.greatest("x.n", "y.n") - F.floor(F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
     same = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.word") == F.col("y.word"))
-    may = (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.left", "y.left", "x.n", "y.n") >= need)
+    # Where both have the same word before a shared one, they share that too, and meet there.
+    once = (F.col("x.last") != F.col("y.last")) | (F.col("x.last") == 0)
+    may = once & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.left", "y.left", "x.n", "y.n") >= need)
     pairs = staged(x.join(y.hint("merge"), same & may).select(F.col("x.row").alias("hub"), F.col("y.row").alias("row")).distinct(), "pairs")
     for old in (each, each_several):
         discard(members.sparkSession, old)
@@ -378,9 +382,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = lambda band, d: F.expr(f"substring(keys, 1 + ({band} * {len(DEPTHS)} + {d}) * 8, 8)")
     level = [f"k{d}" for d in DEPTHS]
     by_band = F.explode(F.array(*[F.struct(*[F.conv(F.hex(key(b, d)), 16, -10).cast("long").alias(n) for d, n in enumerate(level)]) for b in range(bands)]))
-    keyed = rows.select("row", "keys").join(own, "row").select("row", by_band.alias("k")).select("row", "k.*")
+    keyed = rows.select("row", "keys").join(own.hint("merge"), "row").select("row", by_band.alias("k")).select("row", "k.*")
     shared = staged(keyed.groupBy(level[0]).agg(F.count("*").alias("n"), F.min("row").alias("first")).where("n > 1"), "shared")
-    keyed = staged(keyed.join(shared, level[0]).drop("n", "first"), "keyed")
+    # Vertices and shared keys grow with the input, so these are sort merge joins at every size.
+    keyed = staged(keyed.join(shared.hint("merge"), level[0]).drop("n", "first"), "keyed")
     paired = staged(keyed.select("row").distinct(), "paired")
     tokens = staged(rows.select("row", "tokens").join(paired, "row"), "tokens")
     # Groups by their first hub; groups of one hub count as one.
