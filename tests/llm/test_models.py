@@ -167,6 +167,25 @@ def test_responses_equal_a_plain_convolution():
     assert np.allclose(langid.largest_responses(filters, bias, windows), want, atol=1e-4)
 
 
+def test_a_text_has_the_mean_of_its_windows(documents):
+    """Window by window in plain Python, weighted by bytes."""
+    model = langid.fit(documents, per_language=30)
+    rows = langid.predict(documents, model, keep=("doc_id", "text")).collect()
+    for r in rows[:60]:
+        raw = (r["text"] or "").encode()
+        total = np.zeros(len(model.languages))
+        for at in range(0, len(raw), langid.WINDOW):
+            part = raw[at : at + langid.WINDOW]
+            window = np.frombuffer(part.ljust(langid.WINDOW, b"\0"), np.uint8)[None]
+            x = langid.largest_responses(model.filters, model.bias, window)[0] @ model.weights + model.offset
+            e = np.exp(x - x.max())
+            total += e / e.sum() * len(part)
+        if any(c.isalpha() for c in raw.decode()):
+            assert r["lang_pred"] == model.languages[int(total.argmax())] and r["score"] == pytest.approx(total.max() / len(raw), abs=1e-5)
+        else:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+
+
 # ---------------------------------------------------------------- hidden Markov model
 
 
