@@ -48,7 +48,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words
@@ -321,10 +321,11 @@ def completed(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
                 yield flat.slice(at, 1 << 16)
 
     each = with_tokens(members, tokens).select("hub", "row", "root", "a", "b").mapInArrow(run, "hub long, row long, root long, word long, last long, n int, left int")
-    # Only words of two texts at least pair any.
+    # Only words of two roots at least pair any.
     each = staged(each, "prefixes")
-    several = each.groupBy("hub", "word").agg(F.count("*").alias("texts"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hub", "word")
-    each_several = staged(each.join(several, ["hub", "word"]), "prefix-words")
+    shared = Window.partitionBy("hub", "word")
+    roots = each.withColumns({"low": F.min("root").over(shared), "high": F.max("root").over(shared)})
+    each_several = staged(roots.where("low <> high").drop("low", "high"), "prefix-words")
     x, y = each_several.alias("x"), each_several.alias("y")
     # Words in common: at most those from the first shared one on, at least all but the edits allowed.
     need = F.greatest("x.n", "y.n") - F.floor(F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
