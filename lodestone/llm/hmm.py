@@ -25,7 +25,7 @@ The table of words (named by 64-bit hashes) is never broadcast: texts are packed
 about ``BLOCK_BYTES`` with a vocabulary each, and blocks' vocabularies are joined to the table, so
 a block gets the rows of its own words only. Frequent words, which all blocks have, go with
 the model instead and are no hot keys. A word's emissions are its count and its share in each
-state in 16 bits; the states' totals are sums of just these, so that words sum to one.
+state in ``BITS`` bits; the states' totals are sums of just these, so that words sum to one.
 
 Defined results: null and empty texts are one end token; a very long text is scored whole;
 repeated rows count and score each; of equally frequent words the one with the smaller hash
@@ -52,7 +52,9 @@ FREQUENT = 2000
 ENDINGS = 512
 SEGMENT = 128
 SLICE = 4096  # segments at once
-SHARE = (1 << 16) - 1
+BITS = 8  # of a word's share in a state
+SHARE = (1 << BITS) - 1
+PACKED = 64 // BITS  # shares in one number
 PLACE_BITS = 26
 ROUNDS = 5
 SMOOTH = 0.1
@@ -86,7 +88,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 # ---------------------------------------------------------------- blocks
 
 BLOCK = "ids array<long>, held array<boolean>, sizes array<int>, tokens binary, hashes array<long>, counts array<long>, endings array<smallint>"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -108,6 +110,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             held = rows.column("held").to_numpy(zero_copy_only=False)
             counts = np.bincount(tokens[~np.repeat(held, sizes)], minlength=len(keys) + 1)
             s, e = starts[first], ends[first]
+            del h, local, starts, ends
             tail = [np.where(e - s > j, data[np.maximum(e - 1 - j, 0)], 0).astype(np.int64) for j in range(3)]
             ending = np.append((tail[0] * 40_503 + tail[1] * 509 + tail[2] * 131) % ENDINGS, 0)
             one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind) if not isinstance(x, pa.Array) else x)
@@ -217,7 +220,12 @@ def expected_in(model: Model, row: dict, by_word: bool = False) -> list[np.ndarr
         p = slice(at, at + SLICE)
         names = (local[places[p]], len(row["hashes"])) if by_word else (None, 0)
         got = expected(model, symbols[places[p]], size[p], first[p], *names)
-        total = [x + y for x, y in zip(total, got, strict=True)] if total else list(got)
+        if total is None:
+            total = list(got)
+        else:
+            for x, y in zip(total[:3], got[:3], strict=True):
+                x += y
+            total[3] += got[3]
     return total
 
 
@@ -280,22 +288,22 @@ def fit(blocks: DataFrame, vocabulary: DataFrame, states: int = STATES, rounds:
 
 
 def packed_shares(shares: np.ndarray) -> list[np.ndarray]:
-    """Shares (words, states) in 16 bits each, four states in one 64-bit number."""
+    """Shares (words, states) in ``BITS`` bits each, several states in one 64-bit number."""
     q = np.rint(shares * SHARE).astype(np.int64)
-    parts = np.zeros((len(q), -(-q.shape[1] // 4)), np.int64)
+    parts = np.zeros((len(q), -(-q.shape[1] // PACKED)), np.int64)
     for k in range(q.shape[1]):
-        parts[:, k // 4] |= q[:, k] << 16 * (k % 4)
+        parts[:, k // PACKED] |= q[:, k] << BITS * (k % PACKED)
     return list(parts.T)
 
 
 def unpacked_shares(parts: list[np.ndarray], states: int) -> np.ndarray:
-    return np.stack([(parts[k // 4] >> 16 * (k % 4) & SHARE) for k in range(states)], 1) / SHARE
+    return np.stack([(parts[k // PACKED] >> BITS * (k % PACKED) & SHARE) for k in range(states)], 1) / SHARE
 
 
 def emissions(model: Model, blocks: DataFrame) -> DataFrame:
     """(word, c, s0, s1...): the count of every training word and its packed shares in the states. Staged."""
     states = len(model.start)
-    parts = [f"s{i}" for i in range(-(-states // 4))]
+    parts = [f"s{i}" for i in range(-(-states // PACKED))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,17 +317,23 @@ def emissions(model: Model, blocks: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "c", *parts])
 
     each = blocks.select("held", "sizes", "tokens", "endings", "hashes", "counts").mapInArrow(run, ", ".join(f"{n} long" for n in ("word", "c", *parts)))
-    share = lambda k: F.shiftright(F.col(parts[k // 4]), 16 * (k % 4)).bitwiseAND(F.lit(SHARE))
+    share = lambda k: F.shiftright(F.col(parts[k // PACKED]), BITS * (k % PACKED)).bitwiseAND(F.lit(SHARE))
     # Whole numbers, so the order of the sums doesn't matter.
     sums = each.groupBy("word").agg(F.sum("c").alias("c"), *[F.sum(F.col("c") * share(k)).alias(f"e{k}") for k in range(states)])
-    pack = lambda i: sum((F.shiftleft(F.round(F.col(f"e{k}") / F.col("c")).cast("long"), 16 * (k % 4)) for k in range(4 * i, min(4 * i + 4, states))), F.lit(0).cast("long"))
+
+    def pack(i: int) -> Column:
+        out = F.lit(0).cast("long")
+        for k in range(PACKED * i, min(PACKED * (i + 1), states)):
+            out = out.bitwiseOR(F.shiftleft(F.round(F.col(f"e{k}") / F.col("c")).cast("long"), BITS * (k % PACKED)))
+        return out
+
     return staged(sums.select("word", "c", *[pack(i).alias(n) for i, n in enumerate(parts)]), "emissions")
 
 
 def with_words(model: Model, table: DataFrame) -> Model:
     """The model with the states' totals over the table of words, and the frequent words' own rows."""
     states, parts = len(model.start), table.columns[2:]
-    share = lambda k: F.shiftright(F.col(parts[k // 4]), 16 * (k % 4)).bitwiseAND(F.lit(SHARE))
+    share = lambda k: F.shiftright(F.col(parts[k // PACKED]), BITS * (k % PACKED)).bitwiseAND(F.lit(SHARE))
     sums = table.agg(*[F.coalesce(F.sum((F.col("c") * share(k)).cast("decimal(38,0)")), F.lit(0)) for k in range(states)]).first()
     rows = table.join(F.broadcast(frequent_words(table, model)), "word").collect()  # the frequent words alone
     at = {h: i for i, h in enumerate(model.frequent.view(np.int64).tolist())}
@@ -362,7 +376,7 @@ def word_rows(model: Model, row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Training counts and states' shares of a block's words, from the model and the rows joined to the block."""
     c, share = np.zeros(len(row["hashes"])), np.zeros((len(row["hashes"]), len(model.start)))
     c[row["at"]] = row["c"]
-    share[row["at"]] = unpacked_shares([row[f"s{i}"] for i in range(-(-len(model.start) // 4))], len(model.start))
+    share[row["at"]] = unpacked_shares([row[f"s{i}"] for i in range(-(-len(model.start) // PACKED))], len(model.start))
     if len(model.frequent):
         near = np.minimum(np.searchsorted(model.frequent, row["hashes"]), len(model.frequent) - 1)
         own = model.frequent[near] == row["hashes"]
@@ -374,8 +388,11 @@ def emits_of(model: Model, c: np.ndarray, share: np.ndarray, hashes: np.ndarray,
     """(words, states): the probability of each word in each state."""
     symbols = symbols_of(model, hashes, endings)
     inside = (c + SMOOTH) / (model.ending_n[endings] + SMOOTH * (model.ending_v[endings] + 1))
-    tied = model.emit.T[symbols] * np.where(symbols < len(model.frequent), 1.0, inside)[:, None]
-    return (c[:, None] * share + model.prior * tied) / (model.state_n + model.prior)
+    out = model.emit.T[symbols]
+    out *= (np.where(symbols < len(model.frequent), 1.0, inside) * model.prior)[:, None]
+    out += share * c[:, None]
+    out /= model.state_n + model.prior
+    return out
 
 
 def scored_block(model: Model, row: dict) -> list[np.ndarray]:

@@ -274,7 +274,7 @@ def test_emissions_are_expected_counts_of_every_word(trained):
     assert {r["word"]: r["c"] for r in rows} == c and len(rows) == model.distinct
     shares = hmm.unpacked_shares([np.array([r[n] for r in rows]) for n in table.columns[2:]], 5)
     for r, s in zip(rows, shares, strict=True):
-        assert np.allclose(r["c"] * s, want[r["word"]], atol=2e-4 * r["c"] + 1e-4)
+        assert np.allclose(r["c"] * s, want[r["word"]], atol=1.1 / hmm.SHARE * r["c"])
     assert np.allclose(model.state_n, sum(r["c"] * s for r, s in zip(rows, shares, strict=True)))
 
 
