@@ -62,6 +62,7 @@ SEED = 11
 NARROW = 24
 HUBS = (1, 2, 4)
 RARITY_BITS = 22
+EARLIER = 8  # words that a text's word in the completion remembers
 
 
 # ---------------------------------------------------------------- sketches
@@ -302,6 +303,10 @@ def prefix(t: np.ndarray, hub: np.ndarray, often: np.ndarray, least: float = SIM
 def completed(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     """Pairs (hub, row) of members (hub, row, root) of one hub with other roots that may be similar."""
     often = members.sparkSession.sparkContext.broadcast(rarity(tokens))
+    # Two texts meet in the first of the groups that both are in; a text is in one group a band at most.
+    hubs = members.groupBy("row").agg(F.collect_set("hub").alias("hubs"))
+    lower = F.filter("hubs", lambda h: h < F.col("hub")).alias("lower")
+    members = staged(members.join(hubs, "row").select("hub", "row", "root", lower), "members-hubs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,16 +316,19 @@ def completed(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
             row = pa.array(np.repeat(np.arange(len(got)), many))
             size = np.repeat(np.array([len(x) for x in b], np.int64), many)
             word, place = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            last = np.append(np.zeros(1, np.uint64), word)[: len(word)]
-            last[np.cumsum(many)[many > 0] - many[many > 0]] = 0  # the first word of a text follows none
+            at = np.arange(len(word))
+            low = np.maximum(np.repeat(np.cumsum(many) - many, many), at - EARLIER)
+            upto = np.concatenate([[0], np.cumsum(at - low)])
+            before = word[np.arange(upto[-1]) + np.repeat(low - upto[:-1], at - low)]
+            earlier = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(before.view(np.int64)))
             flat = pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(row) for c in ("hub", "row", "root")), pa.array(word.view(np.int64)), pa.array(last.view(np.int64)), pa.array(size, pa.int32()), pa.array(size - place, pa.int32())],
-                names=["hub", "row", "root", "word", "last", "n", "left"],
+                [*(batch.column(c).take(row) for c in ("hub", "row", "root", "lower")), pa.array(word.view(np.int64)), earlier, pa.array(size, pa.int32()), pa.array(size - place, pa.int32())],
+                names=["hub", "row", "root", "lower", "word", "earlier", "n", "left"],
             )
-            for at in range(0, len(flat), 1 << 16):
-                yield flat.slice(at, 1 << 16)
+            for begin in range(0, len(flat), 1 << 16):
+                yield flat.slice(begin, 1 << 16)
 
-    each = with_tokens(members, tokens).select("hub", "row", "root", "a", "b").mapInArrow(run, "hub long, row long, root long, word long, last long, n int, left int")
+    each = with_tokens(members, tokens).select("hub", "row", "root", "lower", "a", "b").mapInArrow(run, "hub long, row long, root long, lower array<long>, word long, earlier array<long>, n int, left int")
     # Only words of two roots at least pair any.
     each = staged(each, "prefixes")
     shared = Window.partitionBy("hub", "word")
@@ -330,12 +338,10 @@ def completed(members: DataFrame, tokens: DataFrame, least: float) -> DataFrame:
     # Words in common: at most those from the first shared one on, at least all but the edits allowed.
     need = F.greatest("x.n", "y.n") - F.floor(F.greatest("x.n", "y.n") * (1 - least) + 1e-9)
     same = (F.col("x.hub") == F.col("y.hub")) & (F.col("x.word") == F.col("y.word"))
-    # Where both have the same word before a shared one, they share that too, and meet there.
-    once = (F.col("x.last") != F.col("y.last")) | (F.col("x.last") == 0)
-    may = once & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.left", "y.left", "x.n", "y.n") >= need)
+    # Where two texts share one of the words just before, too, they meet there.
+    may = ~F.arrays_overlap("x.earlier", "y.earlier") & ~F.arrays_overlap("x.lower", "y.lower") & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root")) & (F.least("x.left", "y.left", "x.n", "y.n") >= need)
     pairs = staged(x.join(y.hint("merge"), same & may).select(F.col("x.row").alias("hub"), F.col("y.row").alias("row")).distinct(), "pairs")
-    for old in (each, each_several):
-        discard(members.sparkSession, old)
+    discard(members.sparkSession, each, each_several, members)
     return pairs
 
 
