@@ -18,8 +18,10 @@ are the connected texts. Method:
   paired exactly: texts with at most d edits share all but d words, so in any common order
   of words they share one of the first d + 1. Words that the group's hub lacks come first,
   then by rarity, so a passage that the group shares pairs nothing. Pairs that the words'
-  places or the lengths rule out are left out. Two texts that share a two-tuple are thus
-  joined, compared or ruled out by a bound; no group is capped.
+  places or the lengths rule out are left out, and so are words that one text has alone. A
+  pair meets in the first group that both are in, and at one of the words near each other
+  that they share. Two texts that share a two-tuple are thus joined, compared or ruled out by
+  a bound; no group is capped.
 * Verification. Pairs pass a count filter (words in common) and then a banded alignment:
   bit-parallel edit distance over a band of diagonals as wide as the distance allowed.
 * Classes. Links are contracted by alternating large-star and small-star steps, each
