@@ -249,6 +249,14 @@ def test_every_node_of_a_sparse_graph_is_reached():
         assert reached == set(nodes)
 
 
+def test_a_long_term_does_not_widen_a_stored_graph(spark):
+    rows = [(d, f"t{d}-{t}", 1.0) for d in range(20) for t in range(20)] + [(0, "x" * 20_000, 1.0)]
+    index = hnsw.build_sparse(spark.createDataFrame(rows, "doc_id long, term string, weight double"), degree=4, beam=8)
+    assert sum(len(r["graph"]) for r in index.collect()) < 300_000
+    found = hnsw.search_sparse(index, spark.createDataFrame([(0, "x" * 20_000, 2.0), (0, "unknown", 1.0), (1, "t7-3", 1.0)], "query_id long, term string, weight double"), 1)
+    assert listed(found) == {0: [(0, 2.0)], 1: [(7, 1.0)]}
+
+
 def test_a_stored_graph_is_the_graph():
     rows = hnsw.DenseRows(np.random.default_rng(1).normal(size=(200, 8)))
     graph = hnsw.Graph(rows, 6, 30).built()
